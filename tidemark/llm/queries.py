@@ -15,7 +15,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substrings import removed_substrings
+
+    return removed_substrings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_substring_dedup)}
 
 #: Words of a text column, and the lower-casing of A-Z.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -32,4 +38,13 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t AS a JOIN t AS b ON a.token = b
 r(doc_id, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.seen)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id
 FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op6_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: struct_pack(pos := i, words := array_to_string(w[i:i + 49], ' ')))) AS s FROM w WHERE len(w) >= 50),
+f AS (SELECT doc_id, s.pos AS pos, min(doc_id) OVER (PARTITION BY s.words) AS earliest FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM f WHERE earliest < doc_id),
+h AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: w[i]) AS k
+      FROM w LEFT JOIN h ON h.doc_id = w.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM k""",
 }
