@@ -21,9 +21,10 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import grams, hashed, texts
+from tidemark.llm.words import grams, hashed, packed, texts, unpacked
 
 #: Windows that start in one region at most; neighbours overlap by the rest of a window.
 REGION = 512
@@ -62,32 +63,65 @@ def _anchor_rows(window: int):
 
 
 def _regions(window: int):
-    """Runs of windows whose anchor is shared, in pieces, with the hash of each window."""
+    """Runs of windows whose anchor is shared, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             shared = batch.column("anchors")
             at, flat = shared.offsets.to_numpy(), shared.values.to_numpy(zero_copy_only=False)
-            for j, (i, row, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts(batch.column("text")))):
+            for j, (i, row, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), unpacked(batch.column("text")))):
                 words = text.split()
                 hit = np.isin(_anchors(words, window), flat[at[j] : at[j + 1]])
                 if not hit.any():
                     continue
-                hashes = grams(hashed(words), window).view(np.int64)
                 edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
                 for a, b in zip(edges[::2], edges[1::2]):
                     for lo in range(a, b, REGION):
                         hi = min(b, lo + REGION)
-                        out.append((i, row, int(lo), b" ".join(words[lo : hi + window - 1]), hashes[lo:hi]))
+                        out.append((i, row, int(lo), b" ".join(words[lo : hi + window - 1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].decode() for x in out], pa.string()), pa.array([x[4] for x in out], pa.list_(pa.int64()))],
-                ["doc_id", "row", "start", "words", "hashes"],
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].decode() for x in out], pa.string())],
+                ["doc_id", "row", "start", "words"],
             )
 
     return run
 
 
+def _windows(window: int):
+    """The hash of each window of a region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [grams(hashed(x.split()), window).view(np.int64) for x in texts(batch.column("words"))]
+            n = [len(x) for x in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc_id", "start"))],
+                ["hash", "doc_id", "start"],
+            )
+
+    return run
+
+
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (hash, doc_id, start): each later document's region and the first region, once a batch."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, d, s = (batch.column(c).to_numpy() for c in ("hash", "doc_id", "start"))
+        new = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        to_d, to_s = d[at], s[at]
+        if not new[0]:
+            to_d, to_s = np.where(at < 0, last[1], to_d), np.where(at < 0, last[2], to_s)
+        last = h[-1], to_d[-1], to_s[-1]
+        later = d > to_d
+        if later.any():
+            rows = np.unique(np.stack([d, s, to_d, to_s])[:, later], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "start", "first_id", "first_start"])
+
+
 class SuffixAutomaton:
     """Of a sequence of words: every path from state 0 spells a run of them."""
 
@@ -184,12 +218,11 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     anchors = docs.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, row long")
     anchors = keep(anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_several, "anchor long, doc_id long, row long"))
     shared = anchors.groupBy(*key).agg(F.collect_set("anchor").alias("anchors"))  # no more than the document has words
-    regions = keep(docs.dropDuplicates(key).join(shared, key).mapInArrow(_regions(window), "doc_id long, row long, start long, words string, hashes array<long>"))
-    windows = regions.select(*key, "start", F.explode("hashes").alias("hash"))
-    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("hash", "first")
-    routes = windows.join(first, "hash").where("first.doc_id < doc_id").select(*key, "start", "first").distinct()
-    shards = regions.select(F.struct(*key, "start").alias("first"), F.col("words").alias("shard"))
-    pairs = routes.join(shards, "first").join(regions.select(*key, "start", "words"), [*key, "start"])
+    regions = keep(packed(docs).join(shared, key).mapInArrow(_regions(window), "doc_id long, row long, start long, words string"))
+    windows = regions.mapInArrow(_windows(window), "hash long, doc_id long, start long")
+    routes = windows.repartition("hash").sortWithinPartitions("hash", "doc_id", "start").mapInArrow(_routes, "doc_id long, start long, first_id long, first_start long").distinct()
+    shards = regions.select(F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"), F.col("words").alias("shard"))
+    pairs = routes.join(shards, ["first_id", "first_start"]).join(regions, ["doc_id", "start"])
     return pairs.select(*key, "start", "words", "shard").mapInArrow(_matched(window), "doc_id long, row long, spans array<long>")
 
 
@@ -219,35 +252,41 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(out))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, removed, kept = [], [], []
-        for text, spans in zip(texts(batch.column("text")), batch.column("spans").to_pylist()):
-            words = text.split()
-            stay = np.ones(len(words), bool)
-            for span in spans or ():
-                for a, b in zip(span[::2], span[1::2]):
-                    stay[a:b] = False
-            left = words if stay.all() else [w for w, s in zip(words, stay) if s]
-            n.append(len(words))
-            removed.append(len(words) - len(left))
-            kept.append(b" ".join(left).decode())
-        rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "spans"]
-        names = [f.name for f in batch.schema if f.name != "spans"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
+def _left(text: bytes, spans) -> tuple[int, list[bytes]]:
+    """The number of words, and the words that stay."""
+    words = text.split()
+    if not spans:
+        return len(words), words
+    stay = np.ones(len(words), bool)
+    for span in spans:
+        for a, b in zip(span[::2], span[1::2]):
+            stay[a:b] = False
+    return len(words), [w for w, s in zip(words, stay) if s]
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _cut(batches):
-        hashes = [hashlib.sha256(x).hexdigest() for x in texts(batch.column("kept"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for batch in batches:
+        found = [_left(*x) for x in zip(unpacked(batch.column("text")), batch.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(x) for n, x in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for _, x in found], pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out, cut = [], []
+        for was, text, spans in zip(batch.column("text").is_valid().to_pylist(), unpacked(batch.column("text")), batch.column("spans").to_pylist()):
+            cut.append(bool(spans))
+            out.append(None if not was else (b" ".join(_left(text, spans)[1]) if spans else text).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("all"), pa.array(out, pa.string()), pa.array(cut, pa.bool_())], ["all", "text", "cut"])
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` (with the column row) and the spans that go, null where none does."""
     told = docs.where("doc_id is not null and text is not null").select("doc_id", "row", "text")
     spans = repeated_spans(told, window).groupBy("doc_id", "row").agg(F.collect_set("spans").alias("spans"))  # within the document's words
-    return docs.join(spans, ["doc_id", "row"], "left")
+    return packed(docs).join(spans, ["doc_id", "row"], "left")
 
 
 def removed_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -267,11 +306,10 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     n_chars, if there is such a column, is that of the new text.
     """
-    names = docs.columns
-    slim = docs.select(F.struct(*names).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
+    rest = [c for c in docs.columns if c != "text"]
+    slim = docs.select(F.struct(*rest).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     joined = _with_spans(slim, window).select("all", "text", "spans")
-    fields = {f.name: f for f in docs.schema}
-    cut = joined.mapInArrow(_cut, "all struct<{}>, text string, n_words long, n_removed long, kept string".format(",".join(f"`{n}`:{fields[n].dataType.simpleString()}" for n in names)))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))
-    return cut.select(*(text.alias(n) if n == "text" else F.coalesce(length, F.col("all")[n]).cast(fields[n].dataType).alias(n) if n == "n_chars" else F.col("all")[n].alias(n) for n in names))
+    schema = T.StructType([joined.schema["all"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
+    cut = joined.mapInArrow(_cut, schema)
+    n_chars = F.when(F.col("cut"), F.length("text")).otherwise(F.col("all.n_chars")) if "n_chars" in rest else None
+    return cut.select(*(F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("all")[c].alias(c) for c in docs.columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 400_000
@@ -64,3 +66,21 @@ def shingles(text: bytes, k: int = 5) -> np.ndarray:
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64).view(np.int64)
     return np.unique(grams(hashed(words), k).view(np.int64))
+
+
+def _pack(batches):
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        packed = pa.array([None if x is None else squeeze(x) for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with text as compressed binary, for the shuffle of whole documents."""
+    return docs.mapInArrow(_pack, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [b"" if x is None else expand(x) for x in column.to_pylist()]
