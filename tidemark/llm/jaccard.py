@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.store import keep
-from tidemark.llm.words import shingles, texts
+from tidemark.llm.words import packed, shingles, texts, unpacked
 
 #: Tokens that the order puts last; the list is broadcast, so this bounds its size.
 FREQUENT = 65_536
@@ -135,7 +135,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(key, least, s) for key, least, text in zip(batch.column("key").to_pylist(), batch.column("least").to_pylist(), texts(batch.column("text"))) if _key(s := shingles(text, k)) == key]
+            found = [(key, least, s) for key, least, text in zip(batch.column("key").to_pylist(), batch.column("least").to_pylist(), unpacked(batch.column("text"))) if _key(s := shingles(text, k)) == key]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([len(x[2]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))],
                 ["key", "least", "n", "tokens"],
@@ -144,6 +144,25 @@ def _sets(k: int):
     return run
 
 
+def _need(u: str, v: str, percent: int) -> str:
+    """Tokens that prefixes of similar sets share at least: all that they must have in common but those of one suffix."""
+    least = lambda n: f"({percent} * {n} + 99) div 100"
+    return f"({percent} * ({u} + {v}) + {99 + percent}) div {100 + percent} - greatest({least(u)}, {least(v)}) + 1"
+
+
+def _enough(hits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of rows (token, u, n_u, v, n_v) that share enough tokens of their prefixes."""
+    hits = hits.where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+    return hits.groupBy("u", "n_u", "v", "n_v").agg(F.count("*").alias("c")).where(f"c >= {_need('n_u', 'n_v', percent)}").select("u", "v")
+
+
+def _bounded(hits: DataFrame, group: list[str], percent: int) -> DataFrame:
+    """Queries u and groups of rows (token, u, n_u, group, lo, hi), where some member of lo to hi tokens may be similar."""
+    hits = hits.where(f"100 * hi >= {percent} * n_u and {percent} * lo <= 100 * n_u").groupBy("u", "n_u", *group).agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    hits = hits.selectExpr("*", f"greatest(lo, ({percent} * n_u + 99) div 100) as a", f"least(hi, 100 * n_u div {percent}) as b")
+    return hits.where(f"c >= least({_need('n_u', 'a', percent)}, {_need('n_u', 'b', percent)}) - 1").select("u", *group)
+
+
 def _links(pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs with (u, n_u, tokens_u, v, n_v, tokens_v) the similar ones."""
     pairs = pairs.where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v")))
@@ -173,48 +192,52 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     frequent = spark.sparkContext.broadcast((common[order], np.array([r["c"] for r in often], np.int64)[order]))
 
     prefixes = docs.mapInArrow(_prefixes(k, percent, frequent), "token long, key long")
-    matrix = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long"))
-
-    reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least"))
-    wanted = reps.join(matrix.select("key").distinct(), "key").select(F.col("rep").alias("doc_id"), "key", "least")
-    sets = keep(docs.join(wanted, "doc_id").mapInArrow(_sets(k), "key long, least long, n long, tokens array<long>").dropDuplicates(["key"]))
-
-    # groups of sets that are similar to the pivot of their least token
-    pivots = sets.groupBy("least").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("least", "pivot")
-    by_pivot = sets.join(pivots, "least").join(_side(sets, "v").withColumnRenamed("v", "pivot"), "pivot")
-    near = keep(_links(by_pivot.select(F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("tokens").alias("tokens_u"), F.col("pivot").alias("v"), "n_v", "tokens_v"), percent))
-    groups = sets.select("key").join(near.select(F.col("u").alias("key"), F.col("v").alias("pivot")), "key", "left").select("key", F.coalesce("pivot", "key").alias("g"))
-
-    # pivots of groups that share a token
-    cells = matrix.join(groups, "key").select("token", "g").distinct()
-    met = cells.select("token", F.col("g").alias("u")).join(cells.select("token", F.col("g").alias("v")), "token").where("u < v").select("u", "v").distinct()
-    linked = keep(_links(met.join(_side(sets, "u"), "u").join(_side(sets, "v"), "v"), percent))
+    reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least"), F.min("n").alias("n"))
+    shared = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long"))
+    matrix = keep(shared.join(reps.select("key", "least", "n"), "key"))
+
+    # candidates by counts of shared prefix tokens: sets and the pivot of their least token,
+    # the remaining sets and pivots with each other, and those with the unions of groups
+    pivots = matrix.groupBy("least").agg(F.min("key").alias("v"))
+    of_pivots = matrix.withColumnRenamed("key", "v").join(pivots, ["least", "v"], "left_semi").select("token", "least", "v", F.col("n").alias("n_v"))
+    mates = matrix.select("token", "least", F.col("key").alias("u"), F.col("n").alias("n_u")).join(of_pivots, ["token", "least"]).where("u <> v")
+    mates = keep(_enough(mates, percent))
+    heads = keep(matrix.join(mates.select(F.col("u").alias("key")), "key", "left_anti").select("token", "key", "n"))
+    met = heads.select("token", F.col("key").alias("u"), F.col("n").alias("n_u")).join(heads.select("token", F.col("key").alias("v"), F.col("n").alias("n_v")), "token").where("u < v")
+    met = keep(_enough(met, percent))
+    member = mates.select(F.col("u").alias("key"), F.col("v").alias("g")).union(mates.select("v", "v").distinct())
+    cells = matrix.join(member, "key").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lone = _bounded(heads.select("token", F.col("key").alias("u"), F.col("n").alias("n_u")).join(cells, "token").where("u <> g"), ["g"], percent)
+
+    keys = mates.select("u").union(mates.select("v")).union(met.select("u")).union(met.select("v")).union(lone.select("u")).distinct().withColumnRenamed("u", "key")
+    wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key", "least")
+    sets = keep(packed(docs).join(wanted, "doc_id").mapInArrow(_sets(k), "key long, least long, n long, tokens array<long>"))
+    u, v = _side(sets, "u"), _side(sets, "v")
+
+    # groups of sets that are similar to their pivot, and pivots that are similar
+    near = keep(_links(mates.join(u, "u").join(v, "v"), percent))
+    linked = keep(_links(met.join(u, "u").join(v, "v"), percent))
     first = keep(components(near.unionByName(linked)))
 
     # queries against the groups of other components
-    placed = keep(
-        groups.join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "g", F.coalesce("label", "key").alias("label")).join(sets.select("key", "n"), "key")
-    )
-    sizes = placed.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    chunked = placed.join(sizes, "g").withColumn("chunk", F.struct("g", F.pmod(F.xxhash64("key"), "chunks").alias("part")))
-    cells = matrix.join(chunked, "key")
+    groups = sets.select("key", "n").distinct().join(near.select(F.col("u").alias("key"), F.col("v").alias("g")).distinct(), "key", "left").select("key", "n", F.coalesce("g", "key").alias("g"))
+    placed = keep(groups.join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "g", F.coalesce("label", "key").alias("label")))
+    chunks = placed.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunked = placed.join(chunks, "g").withColumn("chunk", F.struct("g", F.pmod(F.xxhash64("key"), "chunks").alias("part"))).drop("chunks")
+    cells = matrix.select("token", "key").join(chunked, "key")
     across = cells.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
     cells = cells.join(across, "token", "left_semi")
-    ask = cells.select("token", F.col("key").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"))
     have = cells.groupBy("token", "chunk", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asked = (
-        ask.join(have, "token")
-        .where((F.col("label_u") < F.col("label")) & (100 * F.least("n_u", "hi") >= percent * F.greatest("n_u", "lo")))
-        .select("u", "chunk").distinct()
-    )
-    members = chunked.join(sets.select("key", "tokens"), "key")
-    unions = members.join(asked.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.collect_list("key").alias("members"))
+    ask = cells.select("token", F.col("key").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"))
+    asked = keep(_bounded(ask.join(have, "token").where("label_u < label"), ["chunk"], percent))
+    members = chunked.join(asked.select("chunk").distinct(), "chunk", "left_semi").join(sets.select("key", "tokens"), "key")
+    unions = members.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.collect_set("key").alias("members"))
     opened = (
-        asked.join(_side(sets, "u"), "u").join(unions, "chunk")
+        asked.join(u, "u").join(unions, "chunk")
         .where(100 * F.size(F.array_intersect("tokens_u", "union")) >= percent * F.col("n_u"))
-        .select("u", "n_u", "tokens_u", F.explode("members").alias("v"))
+        .select("u", F.explode("members").alias("v"))
     )
-    late = _links(opened.join(_side(sets, "v"), "v"), percent)
+    late = _links(opened.join(u, "u").join(v, "v"), percent)
     parts = components(near.unionByName(linked).unionByName(late))
 
     named = reps.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
