@@ -21,7 +21,44 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_substrings(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_substring_dedup)}
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pages import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def vocabulary() -> str:
+    """The byte-level vocabulary file; its path is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bpe import encoded_digests
+
+    return encoded_digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import neighbours, preference_rows
+
+    return preference_rows(neighbours(_table(spark, sf_dir, "conversations")))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import proportional_shards
+
+    return proportional_shards(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality_verdicts
+
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_html_extraction, op4_bpe, op5_chat_formatting, op6_substring_dedup, op7_sharding, op10_quality_rules)}
 
 #: Words of a text column, and the lower-casing of A-Z.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -47,4 +84,20 @@ h AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
 k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: w[i]) AS k
       FROM w LEFT JOIN h ON h.doc_id = w.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM k""",
+    "op5_chat_formatting": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations),
+b AS (SELECT pair_id, turn, list((role, text) ORDER BY role, text) FILTER (side = 0) AS a, list((role, text) ORDER BY role, text) FILTER (side = 1) AS b FROM t GROUP BY pair_id, turn),
+d AS (SELECT pair_id, min(turn) AS parted FROM b WHERE a IS DISTINCT FROM b GROUP BY pair_id),
+p AS (SELECT t.*, CASE WHEN parted IS NULL OR turn < parted THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part FROM t LEFT JOIN d ON d.pair_id = t.pair_id)
+SELECT pair_id, part, turn, role, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS loss_mask,
+       '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM p WHERE part <> 'prompt' OR side = 0""",
+    "op7_sharding": """
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT))) AS c),
+x AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+r AS (SELECT doc_id, coalesce('=' || source, '') AS stratum, n + 1 AS size, md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
+        xor(4294967295, list_reduce(list_transform(range(n), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)), lambda a, y: xor(a >> 8, c[(xor(a, y) & 255) + 1]), 4294967295)) AS text_crc32 FROM x, c),
+p AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY hash, doc_id, text_crc32) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY stratum)) AS place FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY place, stratum, hash, doc_id, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM p),
+s AS (SELECT *, pos * 8 // total AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
 }
