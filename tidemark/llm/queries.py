@@ -21,6 +21,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pages import extracted
 
@@ -52,13 +58,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportional_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import predicted_languages
+
+    return predicted_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import quality_verdicts
 
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_html_extraction, op4_bpe, op5_chat_formatting, op6_substring_dedup, op7_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_html_extraction, op4_bpe, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_language_id, op10_quality_rules)}
 
 #: Words of a text column, and the lower-casing of A-Z.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
