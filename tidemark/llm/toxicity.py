@@ -1,6 +1,6 @@
-"""Toxicity by class-conditional Kneser-Ney models over bytes.
+"""Toxicity by class-conditional Kneser-Ney models over characters.
 
-Two models of the next byte after four others, one of toxic and one of ordinary texts, back off to
+Two models of the next character after ORDER - 1 others, one of toxic and one of ordinary texts, back off to
 one interpolated Kneser-Ney model whose continuation counts both classes share; so what is rare is
 smoothed alike and only what a class really repeats speaks for it.  A text's log-likelihood ratio,
 normalised by length over the whole text and over its most toxic spans, goes through a logistic
@@ -17,38 +17,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import texts
 
 #: Labelled rows of each class that are learned from at most (a seeded sample beyond it), and those that fit the curve.
 LABELLED, CURVE = 1_000_000, 40_000
-#: Distinct five-byte grams of the model at most; beyond it the rarest are left to the shared backoff.
-GRAMS = 4_000_000
-#: Discount of every order.
-DISCOUNT = 0.75
-#: Bytes of the spans whose ratios are compared.
+#: Characters of the longest gram.
+ORDER = 6
+#: Distinct grams of the model at most; beyond it the rarest are left to the shared backoff.
+GRAMS = 2_000_000
+#: Discount of every order; it leaves what one document alone has to the backoff.
+DISCOUNT = 1.5
+#: Characters of the spans whose ratios are compared.
 SPANS = (8, 24, 96)
-_BITS = {1: 8, 2: 16, 3: 20, 4: 21, 5: 22}
+_BITS = {1: 8, 2: 16, 3: 20, 4: 20, 5: 21, 6: 21, 7: 21}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.array([32 if b in b"\t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
-_PAD = b"    "
 
 
-def _packed(text: bytes) -> np.ndarray:
-    """Each byte with the four before it, in 40 bits."""
-    b = _LOWER[np.frombuffer(_PAD + text, np.uint8)]
-    n = len(text)
-    out = b[4 : 4 + n].copy()
-    for k in range(1, 5):
-        out |= b[4 - k : 4 - k + n] << np.uint64(8 * k)
+def _packed(text: str) -> np.ndarray:
+    """Each character, in a byte, with those before it; characters beyond 255 share bytes."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    b = np.concatenate([np.full(ORDER - 1, 32, np.uint64), _LOWER[(c ^ (c >> 8)) & 255]])
+    n = len(c)
+    out = b[ORDER - 1 :].copy()
+    for k in range(1, ORDER):
+        out |= b[ORDER - 1 - k : ORDER - 1 - k + n] << np.uint64(8 * k)
     return out
 
 
 def _slot(grams: np.ndarray, order: int) -> np.ndarray:
-    """Places of grams (their last ``order`` bytes) in the table of that order."""
+    """Places of grams (their last ``order`` characters) in the table of that order."""
     low = grams & np.uint64((1 << 8 * order) - 1)
     return low.astype(np.int64) if order < 3 else ((low + np.uint64(order)) * _MIX >> np.uint64(64 - _BITS[order])).astype(np.int64)
 
 
+def _texts(column: pa.Array) -> list[str]:
+    return [x or "" for x in column.to_pylist()]
+
+
 class ToxicityModel:
     """Tables of discounted probabilities and backoff weights; their sizes are fixed."""
 
@@ -56,9 +61,9 @@ class ToxicityModel:
         self.seen, self.rest = {}, {}
         for name, counts in (("toxic", toxic), ("ordinary", ordinary)):
             has = counts > 0
-            self.seen[name], self.rest[name] = self._level(grams[has], counts[has].astype(float), 5)
+            self.seen[name], self.rest[name] = self._level(grams[has], counts[has].astype(float), ORDER)
         types = grams
-        for order in range(4, 0, -1):
+        for order in range(ORDER - 1, 0, -1):
             low, counts = np.unique(types & np.uint64((1 << 8 * order) - 1), return_counts=True)
             self.seen[order], self.rest[order] = self._level(low, counts.astype(float), order)
             types = low
@@ -69,25 +74,25 @@ class ToxicityModel:
         context = _slot(grams >> np.uint64(8), order - 1) if order > 1 else np.zeros(len(grams), np.int64)
         size = 1 << _BITS[order - 1] if order > 1 else 1
         total = np.bincount(context, counts, size)
-        kinds = np.bincount(context, minlength=size)
+        taken = np.bincount(context, np.minimum(counts, DISCOUNT), size)
         safe = np.maximum(total, 1)
         seen = np.zeros(1 << _BITS[order], np.float32)
         np.maximum.at(seen, _slot(grams, order), ((counts - DISCOUNT) / safe[context]).astype(np.float32))
-        return seen, np.where(total > 0, DISCOUNT * kinds / safe, 1).astype(np.float32)
+        return seen, np.where(total > 0, taken / safe, 1).astype(np.float32)
 
-    def ratios(self, text: bytes) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) for each byte."""
+    def ratios(self, text: str) -> np.ndarray:
+        """log P(character | toxic) - log P(character | ordinary) for each character."""
         g = _packed(text)
-        slots = {k: _slot(g, k) for k in range(1, 6)}
-        context = {k: _slot(g >> np.uint64(8), k) for k in range(1, 5)}
+        slots = {k: _slot(g, k) for k in range(1, ORDER + 1)}
+        context = {k: _slot(g >> np.uint64(8), k) for k in range(1, ORDER)}
         p = self.seen[1][slots[1]] + self.rest[1][0] / 256
-        for k in range(2, 5):
+        for k in range(2, ORDER):
             p = self.seen[k][slots[k]] + self.rest[k][context[k - 1]] * p
-        toxic = self.seen["toxic"][slots[5]] + self.rest["toxic"][context[4]] * p
-        ordinary = self.seen["ordinary"][slots[5]] + self.rest["ordinary"][context[4]] * p
+        toxic = self.seen["toxic"][slots[ORDER]] + self.rest["toxic"][context[ORDER - 1]] * p
+        ordinary = self.seen["ordinary"][slots[ORDER]] + self.rest["ordinary"][context[ORDER - 1]] * p
         return np.log(toxic / ordinary)
 
-    def features(self, text: bytes) -> list[float]:
+    def features(self, text: str) -> list[float]:
         n = len(text)
         if not n:
             return [0.0] * (len(SPANS) + 1) + [0.0]
@@ -98,7 +103,7 @@ class ToxicityModel:
             out.append(float((total[w:] - total[:-w]).max()) / span)
         return [*out, float(np.log1p(n))]
 
-    def score(self, text: bytes) -> float:
+    def score(self, text: str) -> float:
         x = np.r_[self.features(text), 1.0] @ self.weights
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
@@ -120,7 +125,7 @@ class ToxicityModel:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Five-byte grams of a task's texts with their counts in toxic and ordinary ones."""
+    """Grams of a task's texts with the counts of toxic and ordinary texts that have them."""
     held: tuple[list, list] = ([], [])
     sums = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
     size = 0
@@ -135,8 +140,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return kinds, np.bincount(where, np.concatenate([sums[c][1], n])).astype(np.int64)
 
     for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch.column("text"))):
-            held[1 - toxic].append(_packed(text))
+        for toxic, text in zip(batch.column("toxic").to_pylist(), _texts(batch.column("text"))):
+            held[1 - toxic].append(np.unique(_packed(text)))
             size += len(text)
             if size > 4_000_000:
                 sums, size = [merged(0), merged(1)], 0
@@ -174,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def curve(batches):
         for batch in batches:
-            found = [shared.value.features(x) for x in texts(batch.column("text"))]
+            found = [shared.value.features(x) for x in _texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
     rate = min(1.0, CURVE / max(1, sum(count.values()) / 4))
@@ -191,7 +196,7 @@ def _scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.score(x) for x in texts(batch.column(at))]
+            found = [shared.value.score(x) for x in _texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
     from pyspark.sql import types as T
