@@ -64,13 +64,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.leaks import benchmark_leaks
+
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import quality_verdicts
 
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_html_extraction, op4_bpe, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_html_extraction, op4_bpe, op5_chat_formatting, op6_substring_dedup, op7_sharding, op8_language_id, op9_benchmark_decontamination, op10_quality_rules)}
 
 #: Words of a text column, and the lower-casing of A-Z.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
