@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 #: Words of a passage (two halves; passages start at every half), hashed terms, latent dimensions at most.
 PASSAGE, TERMS, RANK = 28, 1 << 16, 512
 #: Share of the documents beyond which a word weighs nothing.
-COMMON = 0.02
+COMMON = 0.005
 #: Cosine of candidates; shares of an item's words, in order, that prove it alone or with its answer.
-NEAR, PROVED, LIKELY, ANSWER = 0.4, 0.75, 0.5, 6
+NEAR, PROVED, LIKELY, ANSWER = 0.33, 0.75, 0.5, 6
 #: Items handled at once; their vectors are broadcast.
 BLOCK = 4096
 _MARKS = bytes(range(33, 48)) + b":;?@[]^_`{|}~" + b"\\"
@@ -163,17 +163,19 @@ class Matcher:
         whole = np.add.reduceat(w * w, starts)
         after = lambda x: np.r_[x[1:], np.zeros_like(x[:1])]
         norm, known = whole + after(whole), inside + after(inside)
-        open_ = np.flatnonzero((known > 0) & (known >= NEAR * NEAR * norm * 0.5))  # no passage beyond can come near; half, as a term may repeat
-        for p in open_:
-            part = slice(starts[p], starts[p] + PASSAGE)
-            r = rows[part]
-            hit = r > 0
-            latent = w[part][hit] @ self.padded[r[hit]]
-            terms, counts = np.unique(ids[part], return_counts=True)
-            size = float(np.sqrt(((counts * self.idf[terms]) ** 2).sum()))
-            cosines = self.vectors @ latent / max(size, 1e-9)
-            for k in np.flatnonzero(cosines >= NEAR):
-                yield int(p), int(self.owner[k]), float(cosines[k])
+        open_ = np.flatnonzero((known > 0) & (known >= NEAR * NEAR * norm))  # the cosine of no other passage reaches NEAR
+        if not len(open_):
+            return
+        needed = np.zeros(len(starts) + 1, bool)
+        needed[open_] = needed[open_ + 1] = True
+        hit = np.flatnonzero((rows > 0) & (w > 0) & needed[np.arange(len(ids)) // half])
+        of_half = np.zeros((len(starts) + 1, self.padded.shape[1]), np.float32)
+        first = np.flatnonzero(np.r_[True, np.diff(hit // half) > 0])
+        of_half[hit[first] // half] = np.add.reduceat(self.padded[rows[hit]] * w[hit, None], first, axis=0)
+        cosines = (of_half[open_] + of_half[open_ + 1]) @ self.vectors.T
+        cosines /= np.sqrt(norm[open_])[:, None]  # a term that repeats counts less here than in the true norm: no candidate is lost
+        for p, k in zip(*np.nonzero(cosines >= NEAR)):
+            yield int(open_[p]), int(self.owner[k]), min(1.0, float(cosines[p, k]))
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item id, cosine, share of the item's words found in order, answer found) of each proved item."""
