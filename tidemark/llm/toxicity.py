@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,15 @@ class ToxicityModel:
             types = low
         self.weights = np.zeros(len(SPANS) + 3)
 
+    def __getstate__(self):
+        """Tables travel at half precision and compressed: they are mostly empty."""
+        squeeze = lambda tables: {k: zstandard.compress(v.astype(np.float16).tobytes(), 3) for k, v in tables.items()}
+        return squeeze(self.seen), squeeze(self.rest), self.weights
+
+    def __setstate__(self, state):
+        expand = lambda tables: {k: np.frombuffer(zstandard.decompress(v), np.float16).astype(np.float32) for k, v in tables.items()}
+        self.seen, self.rest, self.weights = expand(state[0]), expand(state[1]), state[2]
+
     @staticmethod
     def _level(grams, counts, order):
         context = _slot(grams >> np.uint64(8), order - 1) if order > 1 else np.zeros(len(grams), np.int64)
