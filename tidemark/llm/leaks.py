@@ -26,12 +26,14 @@ COMMON = 0.005
 NEAR, PROVED, LIKELY, ANSWER = 0.33, 0.75, 0.5, 6
 #: Items handled at once; their vectors are broadcast.
 BLOCK = 4096
+#: Distinct words whose terms a worker remembers.
+REMEMBERED = 1_200_000
 _MARKS = bytes(range(33, 48)) + b":;?@[]^_`{|}~" + b"\\"
 
 
 class _Terms(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word) & (TERMS - 1)
         return value
