@@ -1,10 +1,13 @@
 """Set-similarity join of documents by a token-group matrix.
 
-Documents whose shingle sets are equal are one set.  Similar sets (those that reach the threshold
-with the pivot of their least shingle) form a group; the matrix holds, for every group, the union
-of its members' tokens, as rows (token, group).  Sets that share a token of their prefixes with a
-group of another component are its queries: the overlap of query and union bounds every similarity
-to a member, and only groups whose bound qualifies are opened and their members verified.
+Documents whose shingle sets are equal are one set.  The tokens of a set's prefix name its group:
+each token votes for the most central set that has it (the one with most shared prefix tokens), and
+the set joins the winner.  The matrix holds, for each group, the union of its members' tokens, as
+rows (token, group).  Members that are similar to the centre make up the first components.  Sets of
+smaller components are then queries of the groups, in chunks of CHUNK members: the overlap of query
+and union bounds every similarity to a member, and only chunks whose bound qualifies are opened
+and their members verified.  So sets that lie near each other without a link meet by chunk,
+not each by each.
 
 The order of tokens that defines prefixes puts the most frequent ones last; any order gives the
 same result, so an approximate list of the frequent ones (FREQUENT at most) is enough.
@@ -30,8 +33,8 @@ FREQUENT = 65_536
 SEEN, OFTEN = 4, 16
 #: Tokens that a task counts exactly before it forgets the rare ones.
 COUNTED = 4_000_000
-#: Sets in one chunk of a group.
-CHUNK = 32
+#: Sets in one chunk of a group, and queries that one copy of a chunk answers.
+CHUNK, ASKED = 128, 2048
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -55,33 +58,32 @@ def _scan(k: int):
             return _counts(new, np.concatenate([known[1], np.ones(len(new) - len(known[0]), np.int64)]))
 
         for batch in batches:
-            ids, n, key, least = batch.column("doc_id"), [], [], []
+            ids, n, key = batch.column("doc_id"), [], []
             for text in texts(batch.column("text")):
                 s = shingles(text, k)
                 n.append(len(s))
                 key.append(_key(s) if len(s) else None)
-                least.append(int(s[0]) if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size > COUNTED:
                     known = merged()
                     often = known[1] > 1
                     known, held, size = (known[0][often], known[1][often]), [], 0
-            yield _rows(ids, n, key, least, None)
+            yield _rows(ids, n, key, None)
         known = merged()
         often = known[1] >= SEEN
         tokens, counts = known[0][often], known[1][often]
         for at in range(0, len(tokens), 100_000):
             t = tokens[at : at + 100_000]
-            yield _rows(None, None, t, None, counts[at : at + 100_000])
+            yield _rows(None, None, t, counts[at : at + 100_000])
 
     return run
 
 
-def _rows(ids, n, key, least, seen) -> pa.RecordBatch:
+def _rows(ids, n, key, seen) -> pa.RecordBatch:
     count = len(key)
     column = lambda x: pa.nulls(count, pa.int64()) if x is None else x.cast(pa.int64()) if isinstance(x, pa.Array) else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([column(x) for x in (ids, n, key, least, seen)], ["doc_id", "n", "key", "least", "seen"])
+    return pa.RecordBatch.from_arrays([column(x) for x in (ids, n, key, seen)], ["doc_id", "n", "key", "seen"])
 
 
 def _prefixes(k: int, percent: int, frequent):
@@ -89,7 +91,7 @@ def _prefixes(k: int, percent: int, frequent):
         common, rank = frequent.value
         done: set[int] = set()
         for batch in batches:
-            tokens, keys = [], []
+            tokens, keys, sizes = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 s = shingles(text, k)
                 n = len(s)
@@ -104,42 +106,83 @@ def _prefixes(k: int, percent: int, frequent):
                 s = s[: n - (percent * n + 99) // 100 + 1]
                 tokens.append(s)
                 keys.append(np.full(len(s), key, np.int64))
+                sizes.append(np.full(len(s), n, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, sizes)], ["token", "key", "n"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, key), the distinct ones whose token has several keys."""
+    """Of rows (token, key, n) sorted by (token, key), the distinct ones whose token has several keys."""
     last, given = None, False  # the last row so far, and whether it was given out
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if last is not None:
-            t, k = np.r_[last[0], t], np.r_[last[1], k]
+            rows = [np.r_[x, y] for x, y in zip(last, rows)]
+        t, k = rows[:2]
         new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]
-        t, k = t[new], k[new]
+        t, k, n = (x[new] for x in rows)
         same = t[1:] == t[:-1]
         out = np.r_[False, same] | np.r_[same, False]
         if last is not None and given:
             out[0] = False
         if len(t) > 1:
             given = bool(same[-1])
-        last = (t[-1], k[-1])
+        last = [x[-1:] for x in (t, k, n)]
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(k[out])], ["token", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(k[out]), pa.array(n[out].astype(np.int32))], ["token", "key", "n"])
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(key, least, s) for key, least, text in zip(batch.column("key").to_pylist(), batch.column("least").to_pylist(), unpacked(batch.column("text"))) if _key(s := shingles(text, k)) == key]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([len(x[2]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))],
-                ["key", "least", "n", "tokens"],
-            )
+            found = [(key, s) for key, text in zip(batch.column("key").to_pylist(), unpacked(batch.column("text"))) if _key(s := shingles(text, k)) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["key", "tokens"])
+
+    return run
+
+
+def _answers(percent: int):
+    """Of rows (chunk, kind, label, tokens) sorted by (chunk, kind), members (kind 0) before queries, the links (u, v) of labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, members, index = None, [], None
+        for batch in batches:
+            chunks, kinds, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = batch.column(3)
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            us, vs = [], []
+            for i in range(batch.num_rows):
+                if chunks[i] != chunk:
+                    chunk, members, index = chunks[i], [], None
+                own, tokens = labels[i], values[offsets[i] : offsets[i + 1]]
+                if kinds[i] == 0:
+                    members.append((own, tokens.copy()))
+                    continue
+                if not members:
+                    continue
+                if index is None:
+                    of = np.array([x[0] for x in members], np.int64)
+                    sizes = np.array([len(x[1]) for x in members], np.int64)
+                    held = np.concatenate([x[1] for x in members])
+                    order = np.argsort(held, kind="stable")
+                    union, start = np.unique(held[order], return_index=True)
+                    index = of, sizes, np.repeat(np.arange(len(members)), sizes)[order], union, np.r_[start, len(held)]
+                of, sizes, owner, union, start = index
+                at = np.searchsorted(union, tokens)
+                at = at[union[np.minimum(at, len(union) - 1)] == tokens]
+                if 100 * len(at) < percent * len(tokens):  # the bound: no member has more in common
+                    continue
+                width = start[at + 1] - start[at]
+                hits = np.repeat(start[at] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+                both = np.bincount(owner[hits], minlength=len(members))
+                for v in np.unique(of[(100 * both >= percent * (sizes + len(tokens) - both)) & (of != own)]):
+                    us.append(own)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
@@ -150,12 +193,6 @@ def _need(u: str, v: str, percent: int) -> str:
     return f"({percent} * ({u} + {v}) + {99 + percent}) div {100 + percent} - greatest({least(u)}, {least(v)}) + 1"
 
 
-def _enough(hits: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of rows (token, u, n_u, v, n_v) that share enough tokens of their prefixes."""
-    hits = hits.where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    return hits.groupBy("u", "n_u", "v", "n_v").agg(F.count("*").alias("c")).where(f"c >= {_need('n_u', 'n_v', percent)}").select("u", "v")
-
-
 def _bounded(hits: DataFrame, group: list[str], percent: int) -> DataFrame:
     """Queries u and groups of rows (token, u, n_u, group, lo, hi), where some member of lo to hi tokens may be similar."""
     hits = hits.where(f"100 * hi >= {percent} * n_u and {percent} * lo <= 100 * n_u").groupBy("u", "n_u", *group).agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -163,15 +200,17 @@ def _bounded(hits: DataFrame, group: list[str], percent: int) -> DataFrame:
     return hits.where(f"c >= least({_need('n_u', 'a', percent)}, {_need('n_u', 'b', percent)}) - 1").select("u", *group)
 
 
-def _links(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with (u, n_u, tokens_u, v, n_v, tokens_v) the similar ones."""
-    pairs = pairs.where((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (F.col("u") != F.col("v")))
-    both = F.size(F.array_intersect("tokens_u", "tokens_v"))
-    return pairs.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct links (u, v) of labels: queries ``asks`` (key, label, chunk) against ``members`` (key, label, chunk).
 
-
-def _side(sets: DataFrame, name: str) -> DataFrame:
-    return sets.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"tokens_{name}"))
+    A chunk with many queries is copied, so that no task answers more than about ASKED of them.
+    """
+    many = asks.groupBy("chunk").agg(F.ceil(F.count("*") / ASKED).alias("copies")).where("copies > 1")
+    asks = asks.join(many, "chunk", "left").select("key", "label", "chunk", F.pmod(F.xxhash64("key"), F.coalesce("copies", F.lit(1))).alias("copy"))
+    members = members.join(asks.select("chunk", "copy").distinct(), "chunk")
+    rows = members.withColumn("kind", F.lit(0)).unionByName(asks.withColumn("kind", F.lit(1))).join(sets, "key")
+    rows = rows.select(F.xxhash64("chunk", "copy").alias("chunk"), "kind", "label", "tokens")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_answers(percent), "u long, v long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,63 +223,60 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = keep(docs.mapInArrow(_scan(k), "doc_id long, n long, key long, least long, seen long"))
-    of_docs = scanned.where("seen is null").select("doc_id", "n", "key", "least")
+    scanned = keep(docs.mapInArrow(_scan(k), "doc_id long, n long, key long, seen long"))
+    of_docs = scanned.where("seen is null").select("doc_id", "n", "key")
     often = scanned.where("seen is not null").groupBy("key").agg(F.sum("seen").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
     common = np.array([r["key"] for r in often], np.int64)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], np.array([r["c"] for r in often], np.int64)[order]))
 
-    prefixes = docs.mapInArrow(_prefixes(k, percent, frequent), "token long, key long")
-    reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least"), F.min("n").alias("n"))
-    shared = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long"))
-    matrix = keep(shared.join(reps.select("key", "least", "n"), "key"))
-
-    # candidates by counts of shared prefix tokens: sets and the pivot of their least token,
-    # the remaining sets and pivots with each other, and those with the unions of groups
-    pivots = matrix.groupBy("least").agg(F.min("key").alias("v"))
-    of_pivots = matrix.withColumnRenamed("key", "v").join(pivots, ["least", "v"], "left_semi").select("token", "least", "v", F.col("n").alias("n_v"))
-    mates = matrix.select("token", "least", F.col("key").alias("u"), F.col("n").alias("n_u")).join(of_pivots, ["token", "least"]).where("u <> v")
-    mates = keep(_enough(mates, percent))
-    heads = keep(matrix.join(mates.select(F.col("u").alias("key")), "key", "left_anti").select("token", "key", "n"))
-    met = heads.select("token", F.col("key").alias("u"), F.col("n").alias("n_u")).join(heads.select("token", F.col("key").alias("v"), F.col("n").alias("n_v")), "token").where("u < v")
-    met = keep(_enough(met, percent))
-    member = mates.select(F.col("u").alias("key"), F.col("v").alias("g")).union(mates.select("v", "v").distinct())
-    cells = matrix.join(member, "key").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    lone = _bounded(heads.select("token", F.col("key").alias("u"), F.col("n").alias("n_u")).join(cells, "token").where("u <> g"), ["g"], percent)
-
-    keys = mates.select("u").union(mates.select("v")).union(met.select("u")).union(met.select("v")).union(lone.select("u")).distinct().withColumnRenamed("u", "key")
-    wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key", "least")
-    sets = keep(packed(docs).join(wanted, "doc_id").mapInArrow(_sets(k), "key long, least long, n long, tokens array<long>"))
-    u, v = _side(sets, "u"), _side(sets, "v")
-
-    # groups of sets that are similar to their pivot, and pivots that are similar
-    near = keep(_links(mates.join(u, "u").join(v, "v"), percent))
-    linked = keep(_links(met.join(u, "u").join(v, "v"), percent))
-    first = keep(components(near.unionByName(linked)))
-
-    # queries against the groups of other components
-    groups = sets.select("key", "n").distinct().join(near.select(F.col("u").alias("key"), F.col("v").alias("g")).distinct(), "key", "left").select("key", "n", F.coalesce("g", "key").alias("g"))
-    placed = keep(groups.join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "g", F.coalesce("label", "key").alias("label")))
-    chunks = placed.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    chunked = placed.join(chunks, "g").withColumn("chunk", F.struct("g", F.pmod(F.xxhash64("key"), "chunks").alias("part"))).drop("chunks")
-    cells = matrix.select("token", "key").join(chunked, "key")
+    prefixes = docs.mapInArrow(_prefixes(k, percent, frequent), "token long, key long, n int")
+    matrix = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"))
+    reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+
+    # groups around central sets: each token votes for the set of most shared tokens among those that have it
+    scores = matrix.groupBy("key").agg(F.count("*").alias("score"))
+    centres = matrix.join(scores, "key").groupBy("token").agg(F.max(F.struct("score", "key", "n")).alias("best")).select("token", F.col("best.key").alias("g"), F.col("best.n").alias("n_g"))
+    votes = matrix.join(centres, "token").where(f"100 * least(n, n_g) >= {percent} * greatest(n, n_g)").groupBy("key", "n", "g", "n_g").agg(F.count("*").alias("c"))
+    votes = votes.where(f"key = g or 2 * c >= {_need('n', 'n_g', percent)}")
+    chosen = keep(votes.groupBy("key").agg(F.max(F.struct(F.when(F.col("key") == F.col("g"), 0).otherwise(F.col("c")).alias("c"), "g")).alias("best")).select("key", F.col("best.g").alias("g")))
+    placed = keep(matrix.join(chosen, "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g")))
+
+    # what may be similar across groups, by counts of shared prefix tokens; only these sets are fetched
+    cells = placed.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = cells.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    cells = cells.join(several, "token", "left_semi")
+    met = placed.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("g").alias("g_u")).join(cells, "token").where("g_u <> g")
+    met = keep(_bounded(met, ["g"], percent))
+    groups = placed.select("key", "n", "g").distinct()
+    mates = groups.where("key <> g").select("key", "g")
+    open_groups = groups.join(met.select("g").distinct(), "g", "left_semi").select("key")
+    keys = mates.select("key").union(mates.select("g")).union(met.select("u")).union(open_groups).distinct()
+    wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key")
+    sets = keep(packed(docs).join(wanted, "doc_id").mapInArrow(_sets(k), "key long, tokens array<long>").dropDuplicates(["key"]))
+
+    # components of members that are similar to their centres
+    near = keep(_links(mates.select("key", F.col("key").alias("label"), F.col("g").alias("chunk")), mates.select(F.col("g").alias("key"), F.col("g").alias("label"), F.col("g").alias("chunk")).distinct(), sets, percent))
+    first = keep(components(near))
+    sized = first.join(first.groupBy("label").agg(F.count("*").alias("size")), "label").withColumnRenamed("node", "key")
+
+    # queries of smaller components against the chunks of groups
+    known = groups.join(keys, "key", "left_semi").join(sized, "key", "left").select("key", "g", F.coalesce("label", "key").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    known = known.withColumn("linked", F.col("size") > 1)
+    parts = known.groupBy("g", "linked").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    known = keep(known.join(parts, ["g", "linked"]).select("key", "label", F.struct("size", "label").alias("rank"), F.xxhash64("g", "linked", F.pmod(F.xxhash64("key"), "parts")).alias("chunk")))
+    cells = matrix.join(known, "key")
     across = cells.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
-    cells = cells.join(across, "token", "left_semi")
-    have = cells.groupBy("token", "chunk", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    ask = cells.select("token", F.col("key").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"))
-    asked = keep(_bounded(ask.join(have, "token").where("label_u < label"), ["chunk"], percent))
-    members = chunked.join(asked.select("chunk").distinct(), "chunk", "left_semi").join(sets.select("key", "tokens"), "key")
-    unions = members.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.collect_set("key").alias("members"))
-    opened = (
-        asked.join(u, "u").join(unions, "chunk")
-        .where(100 * F.size(F.array_intersect("tokens_u", "union")) >= percent * F.col("n_u"))
-        .select("u", F.explode("members").alias("v"))
-    )
-    late = _links(opened.join(u, "u").join(v, "v"), percent)
-    parts = components(near.unionByName(linked).unionByName(late))
-
-    named = reps.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
+    cells = keep(cells.join(across, "token", "left_semi"))
+    have = cells.groupBy("token", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rank").alias("top"))
+    ask = cells.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("rank").alias("rank_u"))
+    asked = keep(_bounded(ask.join(have, "token").where("rank_u < top"), ["chunk"], percent))
+    late = _links(asked.withColumnRenamed("u", "key").join(known.select("key", "label"), "key"), known.select("key", "label", "chunk"), sets, percent)
+    merged = components(late).withColumnRenamed("label", "whole")
+    parts = first.withColumnRenamed("node", "key").unionByName(known.where("rank.size = 1").select("key", "label"))
+    parts = parts.join(merged, parts["label"] == merged["node"], "left").select("key", F.coalesce("whole", "label").alias("label"))
+
+    named = reps.join(parts, "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_key = named.join(least, "label").select("key", "component_id")
     return of_docs.join(by_key, "key", "left").select(
