@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
@@ -136,31 +136,55 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(k[out]), pa.array(n[out].astype(np.int32))], ["token", "key", "n"])
 
 
-def _sets(k: int):
+def _votes(percent: int):
+    """Of rows (token, score, key, n) sorted by token and falling (score, key), a task's votes (key, n, g, n_g, c) for each token's first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the token, centre and size of the centre that the next batch may go on with
         for batch in batches:
-            found = [(key, s) for key, text in zip(batch.column("key").to_pylist(), unpacked(batch.column("text"))) if _key(s := shingles(text, k)) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["key", "tokens"])
+            if not batch.num_rows:
+                continue
+            t, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            g, of = k[first].copy(), n[first].copy()
+            if last is not None and last[0] == t[0]:
+                g[0], of[0] = last[1:]
+            last = t[-1], g[-1], of[-1]
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(t)]))
+            g, of = g[run_of], of[run_of]
+            near = 100 * np.minimum(n, of).astype(np.int64) >= percent * np.maximum(n, of).astype(np.int64)
+            columns = [x[near] for x in (k, n, g, of)]
+            if near.any():
+                table = pa.table([pa.array(x) for x in columns], ["key", "n", "g", "n_g"]).group_by(["key", "n", "g", "n_g"]).aggregate([([], "count_all")])
+                yield from table.combine_chunks().to_batches()
 
     return run
 
 
-def _answers(percent: int):
-    """Of rows (chunk, kind, label, tokens) sorted by (chunk, kind), members (kind 0) before queries, the links (u, v) of labels."""
+def _true(k: int):
+    """Rows (key, text) whose text has that key: rows of one doc_id may differ in text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_key(shingles(text, k)) == key for key, text in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)))], pa.bool_()))
+
+    return run
+
+
+def _answers(k: int, percent: int):
+    """Of rows (chunk, kind, label, text) sorted by (chunk, kind), members (kind 0) before queries, the links (u, v) of labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, members, index = None, [], None
         for batch in batches:
             chunks, kinds, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lists = batch.column(3)
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             us, vs = [], []
-            for i in range(batch.num_rows):
+            for i, text in enumerate(unpacked(batch.column(3))):
                 if chunks[i] != chunk:
                     chunk, members, index = chunks[i], [], None
-                own, tokens = labels[i], values[offsets[i] : offsets[i + 1]]
+                own, tokens = labels[i], shingles(text, k)
                 if kinds[i] == 0:
-                    members.append((own, tokens.copy()))
+                    members.append((own, tokens))
                     continue
                 if not members:
                     continue
@@ -200,17 +224,20 @@ def _bounded(hits: DataFrame, group: list[str], percent: int) -> DataFrame:
     return hits.where(f"c >= least({_need('n_u', 'a', percent)}, {_need('n_u', 'b', percent)}) - 1").select("u", *group)
 
 
-def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Distinct links (u, v) of labels: queries ``asks`` (key, label, chunk) against ``members`` (key, label, chunk).
 
+    ``sets`` (key, text) has compressed texts, smaller by far than the hashes of their shingles.  A key that
+    stands there twice only repeats links.
+
     A chunk with many queries is copied, so that no task answers more than about ASKED of them.
     """
     many = asks.groupBy("chunk").agg(F.ceil(F.count("*") / ASKED).alias("copies")).where("copies > 1")
     asks = asks.join(many, "chunk", "left").select("key", "label", "chunk", F.pmod(F.xxhash64("key"), F.coalesce("copies", F.lit(1))).alias("copy"))
     members = members.join(asks.select("chunk", "copy").distinct(), "chunk")
     rows = members.withColumn("kind", F.lit(0)).unionByName(asks.withColumn("kind", F.lit(1))).join(sets, "key")
-    rows = rows.select(F.xxhash64("chunk", "copy").alias("chunk"), "kind", "label", "tokens")
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_answers(percent), "u long, v long").distinct()
+    rows = rows.select(F.xxhash64("chunk", "copy").alias("chunk"), "kind", "label", "text")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_answers(k, percent), "u long, v long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -235,28 +262,28 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     # groups around central sets: each token votes for the set of most shared tokens among those that have it
-    scores = matrix.groupBy("key").agg(F.count("*").alias("score"))
-    centres = matrix.join(scores, "key").groupBy("token").agg(F.max(F.struct("score", "key", "n")).alias("best")).select("token", F.col("best.key").alias("g"), F.col("best.n").alias("n_g"))
-    votes = matrix.join(centres, "token").where(f"100 * least(n, n_g) >= {percent} * greatest(n, n_g)").groupBy("key", "n", "g", "n_g").agg(F.count("*").alias("c"))
+    scored = matrix.withColumn("score", F.count("*").over(Window.partitionBy("key"))).select("token", "score", "key", "n")
+    votes = scored.repartition("token").sortWithinPartitions("token", F.desc("score"), F.desc("key")).mapInArrow(_votes(percent), "key long, n int, g long, n_g int, c long")
+    votes = votes.groupBy("key", "n", "g", "n_g").agg(F.sum("c").alias("c"))
     votes = votes.where(f"key = g or 2 * c >= {_need('n', 'n_g', percent)}")
     chosen = keep(votes.groupBy("key").agg(F.max(F.struct(F.when(F.col("key") == F.col("g"), 0).otherwise(F.col("c")).alias("c"), "g")).alias("best")).select("key", F.col("best.g").alias("g")))
     placed = keep(matrix.join(chosen, "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g")))
 
     # what may be similar across groups, by counts of shared prefix tokens; only these sets are fetched
-    cells = placed.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = cells.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    cells = cells.join(several, "token", "left_semi")
-    met = placed.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("g").alias("g_u")).join(cells, "token").where("g_u <> g")
+    several = placed.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("token")
+    shared = placed.join(several, "token", "left_semi")
+    cells = shared.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = shared.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("g").alias("g_u")).join(cells, "token").where("g_u <> g")
     met = keep(_bounded(met, ["g"], percent))
     groups = placed.select("key", "n", "g").distinct()
     mates = groups.where("key <> g").select("key", "g")
     open_groups = groups.join(met.select("g").distinct(), "g", "left_semi").select("key")
     keys = mates.select("key").union(mates.select("g")).union(met.select("u")).union(open_groups).distinct()
     wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key")
-    sets = keep(packed(docs).join(wanted, "doc_id").mapInArrow(_sets(k), "key long, tokens array<long>").dropDuplicates(["key"]))
+    sets = keep(packed(docs).join(wanted, "doc_id").select("key", "text").mapInArrow(_true(k), "key long, text binary"))
 
     # components of members that are similar to their centres
-    near = keep(_links(mates.select("key", F.col("key").alias("label"), F.col("g").alias("chunk")), mates.select(F.col("g").alias("key"), F.col("g").alias("label"), F.col("g").alias("chunk")).distinct(), sets, percent))
+    near = keep(_links(mates.select("key", F.col("key").alias("label"), F.col("g").alias("chunk")), mates.select(F.col("g").alias("key"), F.col("g").alias("label"), F.col("g").alias("chunk")).distinct(), sets, k, percent))
     first = keep(components(near))
     sized = first.join(first.groupBy("label").agg(F.count("*").alias("size")), "label").withColumnRenamed("node", "key")
 
@@ -265,13 +292,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = known.withColumn("linked", F.col("size") > 1)
     parts = known.groupBy("g", "linked").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     known = keep(known.join(parts, ["g", "linked"]).select("key", "label", F.struct("size", "label").alias("rank"), F.xxhash64("g", "linked", F.pmod(F.xxhash64("key"), "parts")).alias("chunk")))
-    cells = matrix.join(known, "key")
+    cells = keep(matrix.join(known, "key"))
     across = cells.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
-    cells = keep(cells.join(across, "token", "left_semi"))
+    cells = cells.join(across, "token", "left_semi")
     have = cells.groupBy("token", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rank").alias("top"))
     ask = cells.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("rank").alias("rank_u"))
     asked = keep(_bounded(ask.join(have, "token").where("rank_u < top"), ["chunk"], percent))
-    late = _links(asked.withColumnRenamed("u", "key").join(known.select("key", "label"), "key"), known.select("key", "label", "chunk"), sets, percent)
+    late = _links(asked.withColumnRenamed("u", "key").join(known.select("key", "label"), "key"), known.select("key", "label", "chunk"), sets, k, percent)
     merged = components(late).withColumnRenamed("label", "whole")
     parts = first.withColumnRenamed("node", "key").unionByName(known.where("rank.size = 1").select("key", "label"))
     parts = parts.join(merged, parts["label"] == merged["node"], "left").select("key", F.coalesce("whole", "label").alias("label"))
