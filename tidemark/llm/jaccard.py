@@ -267,18 +267,20 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     votes = votes.groupBy("key", "n", "g", "n_g").agg(F.sum("c").alias("c"))
     votes = votes.where(f"key = g or 2 * c >= {_need('n', 'n_g', percent)}")
     chosen = keep(votes.groupBy("key").agg(F.max(F.struct(F.when(F.col("key") == F.col("g"), 0).otherwise(F.col("c")).alias("c"), "g")).alias("best")).select("key", F.col("best.g").alias("g")))
-    placed = keep(matrix.join(chosen, "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g")))
+    centres = chosen.where("key <> g").select(F.col("g").alias("key")).distinct().withColumn("centre", F.lit(True))
+    marked = chosen.join(centres, "key", "left").select("key", "g", F.expr("key = g and centre is null").alias("alone"))
+    placed = keep(matrix.join(marked, "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g"), F.coalesce("alone", F.lit(True)).alias("alone")))
 
-    # what may be similar across groups, by counts of shared prefix tokens; only these sets are fetched
+    # Sets of groups of several are fetched in any case.  A set alone in its group is fetched if counts of shared
+    # prefix tokens allow a link with another group; of two lone sets the lesser key asks, for both.
     several = placed.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("token")
     shared = placed.join(several, "token", "left_semi")
-    cells = shared.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = shared.select("token", F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("g").alias("g_u")).join(cells, "token").where("g_u <> g")
-    met = keep(_bounded(met, ["g"], percent))
+    cells = shared.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("alone").alias("alone"))
+    lone = shared.where("alone").select("token", F.col("key").alias("u"), F.col("n").alias("n_u"))
+    met = keep(_bounded(lone.join(cells, "token").where("u < g or (u > g and not alone)"), ["g"], percent))
     groups = placed.select("key", "n", "g").distinct()
     mates = groups.where("key <> g").select("key", "g")
-    open_groups = groups.join(met.select("g").distinct(), "g", "left_semi").select("key")
-    keys = mates.select("key").union(mates.select("g")).union(met.select("u")).union(open_groups).distinct()
+    keys = mates.select("key").union(mates.select("g")).union(met.select("u")).union(met.select("g")).distinct()
     wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key")
     sets = keep(packed(docs).join(wanted, "doc_id").select("key", "text").mapInArrow(_true(k), "key long, text binary"))
 
