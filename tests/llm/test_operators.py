@@ -231,6 +231,24 @@ def test_leaks(spark, docs, corpus):
     assert common_subsequence([b"a", b"b", b"c", b"a"], [b"b", b"x", b"a", b"a"]) == 2
 
 
+def test_leaks_of_an_item_that_many_documents_hold(spark):
+    from tidemark.llm.leaks import benchmark_leaks, without_leaks
+
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    own = [f"q{i}" for i in range(40)]
+    items = [(0, " ".join(own)), (1, text(24)), (2, text(45))]  # items 1 and 2 have words of most documents alone
+    rows = [(i, f"{text(30)} {items[0][1] if i % 2 else text(40)} {text(30)}") for i in range(120)]
+    changed = " ".join(w for k, w in enumerate(own) if k % 4)
+    rows += [(200, f"{text(50)} {changed} {text(50)}"), (201, f"{text(90)} {items[1][1]} {text(33)}"), (202, f"{text(11)} {items[2][1]} {text(70)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, 0) for i in range(1, 120, 2)} | {(200, 0), (201, 1), (202, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(docs, benchmark).collect()} == want
+    assert {r["doc_id"] for r in without_leaks(docs, benchmark).collect()} == set(range(0, 120, 2))
+
+
 def test_pipeline_keeps_columns_and_runs(spark, tmp_path, docs):
     import corpus_pipeline
 

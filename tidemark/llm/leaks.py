@@ -1,15 +1,17 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
 Benchmark items and documents are cut into overlapping passages with TF-IDF weights (document
-frequencies of all documents; words of more than COMMON of them weigh nothing).  A randomised SVD of
-the items' passages, whose products are summed over partitions, gives the latent space; a document's
-passages are folded in and compared with the items' by cosine, the part outside the space counting in
-the norm.  What comes near is a candidate only: the longest common subsequence with the item
-and, for looser matches, the item's answer (its last words) decide.
+frequencies of all documents).  A randomised SVD of the items' passages, whose products are summed over
+partitions, gives the latent space; a document's passages are folded in and compared with the items' by
+cosine, the part outside the space counting in the norm.  Passages that share RUN words in a row with
+an item are candidates too, whatever their words weigh: a copy has them, and so has every item of which
+three quarters are left with nothing put between.  What comes near is a candidate only: the
+longest common subsequence with the item and, for looser matches, the item's answer (its last words) decide.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: Words of a passage (two halves; passages start at every half), hashed terms, latent dimensions at most.
 PASSAGE, TERMS, RANK = 28, 1 << 16, 512
-#: Share of the documents beyond which a word weighs nothing.
-COMMON = 0.005
+#: Least weight of a word: those that all documents have count too.
+LEAST = 0.05
+#: Words in a row that make a candidate.
+RUN = 3
 #: Cosine of candidates; shares of an item's words, in order, that prove it alone or with its answer.
 NEAR, PROVED, LIKELY, ANSWER = 0.33, 0.75, 0.5, 6
 #: Items handled at once; their vectors are broadcast.
@@ -67,7 +71,45 @@ def weights(docs: DataFrame) -> np.ndarray:
     seen[table["term"].to_numpy()] = table["c"].to_numpy()
     n = max(1, seen[TERMS])
     # a term's words share its count; what no document has is as rare as can be
-    return np.where(seen[:TERMS] > max(COMMON * n, 20), 0, np.log((1 + n) / (1 + seen[:TERMS]))).astype(np.float32)
+    return np.maximum(np.log((1 + n) / (1 + seen[:TERMS])), LEAST).astype(np.float32)
+
+
+def _runs(ids: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` terms from each place on, in one number."""
+    out = ids[: max(0, len(ids) - length + 1)].astype(np.uint64)
+    for k in range(1, length):
+        out |= ids[k : k + len(out)].astype(np.uint64) << np.uint64(16 * k)
+    return out
+
+
+class _Runs:
+    """Runs of the items, each of RUN terms or of a shorter item's, and the items that have them."""
+
+    def __init__(self, items: list[list[bytes]]):
+        self.by_length = []
+        for length in range(1, RUN + 1):
+            pairs = [(int(run), k) for k, words in enumerate(items) if words and min(len(words), RUN) == length for run in np.unique(_runs(_ids(words), length))]
+            if pairs:
+                keys = np.array([run for run, _ in pairs], np.uint64)
+                order = np.argsort(keys, kind="stable")
+                maybe = np.zeros(1 << 20, bool)
+                maybe[self._place(keys)] = True
+                self.by_length.append((length, keys[order], np.array([k for _, k in pairs])[order], maybe))
+
+    @staticmethod
+    def _place(runs: np.ndarray) -> np.ndarray:
+        return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def found(self, ids: np.ndarray):
+        """(half passage, item) of each run of an item, once."""
+        out = set()
+        for length, keys, owner, maybe in self.by_length:
+            runs = _runs(ids, length)
+            at = np.flatnonzero(maybe[self._place(runs)])
+            low, high = np.searchsorted(keys, runs[at]), np.searchsorted(keys, runs[at], "right")
+            for i in np.flatnonzero(high > low):
+                out.update((int(at[i]) // (PASSAGE // 2), int(k)) for k in owner[low[i] : high[i]])
+        return sorted(out)
 
 
 def _item_passages(words: list[bytes]) -> list[np.ndarray]:
@@ -151,6 +193,13 @@ class Matcher:
                 owner.append(len(self.items))
                 vectors.append(latent / max(float(np.linalg.norm(latent)), 1e-9))
             self.items.append((i, words))
+        self.counts = [Counter(words) for _, words in self.items]
+        self.runs = _Runs([words for _, words in self.items])
+        self.peak = np.zeros(TERMS, np.float32)  # of each term, the most that it weighs in a passage of the items
+        for _, words in self.items:
+            for ids in _item_passages(words):
+                t, w = _unit(ids, idf)
+                self.peak[t] = np.maximum(self.peak[t], w)
         self.owner = np.array(owner, np.int64)
         self.vectors = np.array(vectors, np.float32).reshape(len(owner), basis.shape[1])
         self.padded = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), basis])
@@ -163,21 +212,41 @@ class Matcher:
         starts = np.arange(0, len(ids), half)
         inside = np.add.reduceat(np.where(rows > 0, w * w, 0), starts)
         whole = np.add.reduceat(w * w, starts)
+        most = np.add.reduceat(w * self.peak[ids], starts)
         after = lambda x: np.r_[x[1:], np.zeros_like(x[:1])]
         norm, known = whole + after(whole), inside + after(inside)
-        open_ = np.flatnonzero((known > 0) & (known >= NEAR * NEAR * norm))  # the cosine of no other passage reaches NEAR
+        reach = most + after(most)
+        open_ = np.flatnonzero((known > 0) & (known >= NEAR * NEAR * norm) & (reach >= 0.999 * NEAR * np.sqrt(norm)))  # the cosine of no other passage reaches NEAR
         if not len(open_):
             return
         needed = np.zeros(len(starts) + 1, bool)
         needed[open_] = needed[open_ + 1] = True
-        hit = np.flatnonzero((rows > 0) & (w > 0) & needed[np.arange(len(ids)) // half])
-        of_half = np.zeros((len(starts) + 1, self.padded.shape[1]), np.float32)
-        first = np.flatnonzero(np.r_[True, np.diff(hit // half) > 0])
-        of_half[hit[first] // half] = np.add.reduceat(self.padded[rows[hit]] * w[hit, None], first, axis=0)
-        cosines = (of_half[open_] + of_half[open_ + 1]) @ self.vectors.T
-        cosines /= np.sqrt(norm[open_])[:, None]  # a term that repeats counts less here than in the true norm: no candidate is lost
-        for p, k in zip(*np.nonzero(cosines >= NEAR)):
-            yield int(open_[p]), int(self.owner[k]), min(1.0, float(cosines[p, k]))
+        hit = np.flatnonzero((rows > 0) & needed[np.arange(len(ids)) // half])
+        place = np.flatnonzero(needed)
+        to = np.zeros(len(starts) + 1, np.int64)
+        to[place] = np.arange(len(place))
+        dealt = np.zeros((len(place) * half, 2), np.float32)  # row and weight of each word of each needed half
+        spot = to[hit // half] * half + hit % half
+        dealt[spot, 0], dealt[spot, 1] = rows[hit], w[hit]
+        of_half = np.empty((len(place), self.padded.shape[1]), np.float32)
+        for at in range(0, len(place), 16):  # few at a time stay in the cache
+            part = dealt[at * half : (at + 16) * half]
+            x = self.padded[part[:, 0].astype(np.int64)].reshape(-1, half, self.padded.shape[1])
+            np.matmul(part[:, 1].reshape(-1, 1, half), x, out=of_half[at : at + 16, None])
+        for at in range(0, len(open_), 512):
+            here = open_[at : at + 512]
+            cosines = (of_half[to[here]] + of_half[to[here + 1]]) @ self.vectors.T
+            cosines /= np.sqrt(norm[here])[:, None]  # a term that repeats counts less here than in the true norm: no candidate is lost
+            for p, k in zip(*np.nonzero(cosines >= NEAR)):
+                yield int(here[p]), int(self.owner[k]), min(1.0, float(cosines[p, k]))
+
+    def cosine(self, ids: np.ndarray, passage: int, item: int) -> float:
+        """The cosine of a document's passage with the item's nearest one."""
+        at = passage * (PASSAGE // 2)
+        part = ids[at : at + PASSAGE]
+        w, rows = self.idf[part], self.row[part]
+        latent = w @ self.padded[rows]
+        return float(np.clip((self.vectors[self.owner == item] @ latent).max() / np.sqrt((w * w).sum()), 0, 1))
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item id, cosine, share of the item's words found in order, answer found) of each proved item."""
@@ -185,12 +254,19 @@ class Matcher:
         if not words or not len(self.owner):
             return []
         best: dict[int, tuple[float, float, bool]] = {}
-        for p, k, cosine in self.candidates(_ids(words)):
+        ids = _ids(words)
+        near = list(self.candidates(ids))
+        cosines = {(p, k): cosine for p, k, cosine in near}
+        runs = [(p, k, self.cosine(ids, p, k)) for p, k in self.runs.found(ids) if (p, k) not in cosines]
+        for p, k, cosine in near + runs:
             i, item = self.items[k]
             if k in best and best[k][1] >= 1:
                 continue
             at = p * (PASSAGE // 2)
             part = words[max(0, at - len(item)) : at + PASSAGE + len(item)]
+            counts = self.counts[k]
+            if sum(map(counts.__getitem__, counts.keys() & set(part))) < LIKELY * len(item):
+                continue  # no longer subsequence either
             share = common_subsequence(item, part) / len(item)
             answer = b" ".join(item[-ANSWER:])
             told = b" %b " % answer in b" %b " % b" ".join(part)
