@@ -249,6 +249,20 @@ def test_leaks_of_an_item_that_many_documents_hold(spark):
     assert {r["doc_id"] for r in without_leaks(docs, benchmark).collect()} == set(range(0, 120, 2))
 
 
+def test_a_benchmark_of_many_passages_keeps_its_cosines(spark):
+    from tidemark.llm import leaks
+
+    rng = random.Random(8)
+    items = [(i, " ".join(f"q{rng.randrange(9000)}" for _ in range(28))) for i in range(1500)]
+    alone = lambda k: f"d{rng.randrange(10**9)}"
+    spread = lambda t: " ".join(x for k, w in enumerate(t.split()) for x in ([w, alone(k)] if k % 2 else [w]))  # noqa: E731  (no three words in a row)
+    docs = spark.createDataFrame([(i, t) for i, t in items] + [(5000 + i, spread(t)) for i, t in items[:300]], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = leaks.benchmark_leaks(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, i) for i in range(1500)] + [(5000 + i, i) for i in range(300)]
+    assert all(r["cosine"] > 0.99 for r in rows if r["doc_id"] == r["item_id"])
+
+
 def test_pipeline_keeps_columns_and_runs(spark, tmp_path, docs):
     import corpus_pipeline
 

@@ -20,16 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage (two halves; passages start at every half), hashed terms, latent dimensions at most.
-PASSAGE, TERMS, RANK = 28, 1 << 16, 512
+#: Words of a passage (two halves; passages start at every half), hashed terms.
+PASSAGE, TERMS = 28, 1 << 16
 #: Least weight of a word: those that all documents have count too.
 LEAST = 0.05
 #: Words in a row that make a candidate.
 RUN = 3
 #: Cosine of candidates; shares of an item's words, in order, that prove it alone or with its answer.
 NEAR, PROVED, LIKELY, ANSWER = 0.33, 0.75, 0.5, 6
-#: Items handled at once; their vectors are broadcast.
-BLOCK = 4096
+#: Passages of the items in a block, about; a block's latent space has a direction for each of them, so a cosine there is the one of all terms.
+BLOCK = 512
+#: Blocks that are broadcast and searched together.
+TOGETHER = 4
 #: Distinct words whose terms a worker remembers.
 REMEMBERED = 1_200_000
 _MARKS = bytes(range(33, 48)) + b":;?@[]^_`{|}~" + b"\\"
@@ -248,13 +250,11 @@ class Matcher:
         latent = w @ self.padded[rows]
         return float(np.clip((self.vectors[self.owner == item] @ latent).max() / np.sqrt((w * w).sum()), 0, 1))
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
+    def leaks(self, words: list[bytes], ids: np.ndarray) -> list[tuple[int, float, float, bool]]:
         """(item id, cosine, share of the item's words found in order, answer found) of each proved item."""
-        words = _words(text)
         if not words or not len(self.owner):
             return []
         best: dict[int, tuple[float, float, bool]] = {}
-        ids = _ids(words)
         near = list(self.candidates(ids))
         cosines = {(p, k): cosine for p, k, cosine in near}
         runs = [(p, k, self.cosine(ids, p, k)) for p, k in self.runs.found(ids) if (p, k) not in cosines]
@@ -275,18 +275,35 @@ class Matcher:
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame):
-    """A matcher for each block of items; blocks are of bounded size."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(_item_passages(_words(t))) for t in batch.column("text").to_pylist()], pa.int64())], ["c"])
+
+
+def matchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Matcher]]:
+    """A matcher for each block of items, TOGETHER at once; the blocks grow in number with the items, not in size."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    count = items.count()
-    idf = weights(docs)
-    blocks = -(-count // BLOCK)
+    blocks = -(-(items.select("text").mapInArrow(_counts, "c long").agg(F.sum("c")).first()[0] or 0) // BLOCK)
+    idf = weights(docs) if blocks else None
+    group = []
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         held = sorted(map(tuple, block.collect()))
         passages = sum(len(_item_passages(_words(t))) for _, t in held)
-        rank = max(1, min(RANK, passages))
-        yield Matcher(held, idf, *latent_space(block, idf, rank))
+        if passages:
+            group.append(Matcher(held, idf, *latent_space(block, idf, passages)))
+        if len(group) == TOGETHER:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def _found(text: str | None, group: list[Matcher]) -> Iterator[tuple[int, float, float, bool]]:
+    words = _words(text)
+    ids = _ids(words)
+    for matcher in group:
+        yield from matcher.leaks(words, ids)
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -300,12 +317,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean"
     out = spark.createDataFrame([], schema)
-    for matcher in matchers(docs, benchmark):
-        shared = spark.sparkContext.broadcast(matcher)
+    for group in matchers(docs, benchmark):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = [(i, *leak) for i, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))) for leak in shared.value.leaks(text)]
+                found = [(i, *leak) for i, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))) for leak in _found(text, shared.value)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
 
         out = out.unionByName(slim.mapInArrow(run, schema))
@@ -317,12 +334,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     at = docs.columns.index("text")
     out = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    for matcher in matchers(docs, benchmark):
-        shared = spark.sparkContext.broadcast(matcher)
+    for group in matchers(docs, benchmark):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.leaks(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([next(_found(x, shared.value), None) is None for x in batch.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
     return out.toDF(*docs.columns)
