@@ -200,6 +200,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity_scores(docs.where("false"), labels.where("false")).count() == 0
 
 
+def test_toxicity_counts_all_grams_of_a_large_input(spark):
+    import numpy as np
+
+    from tidemark.llm import toxicity
+
+    rng = random.Random(9)
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    words_ = ["grumbzot", "river", "stone", "vexlurk", "window"]
+    rows = [(i, " ".join(rng.choices(words_, k=60)) + " " + "".join(rng.choices(signs, k=14000)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    split = labels.where(~toxicity.held_out()).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
+    used = {r["doc_id"] for r in split.where("not curve").collect()}
+    count = lambda y: np.unique(np.concatenate([np.unique(toxicity._packed(t)) for i, t, c in rows if i in used and c in y]), return_counts=True)
+    toxic, ordinary, types = count({1}), count({0}), count({0, 1})[0]
+    assert len(types) > 2_000_000
+    d = toxicity.DISCOUNT
+
+    def probability(g, order, kinds, counts, lower):
+        inside = kinds >> np.uint64(8) == g >> np.uint64(8)
+        total = counts[inside].sum()
+        own = counts[kinds == g].sum()
+        return (max(own - d, 0) + np.minimum(counts[inside], d).sum() * lower) / total if total else lower
+
+    tables = []
+    for order in range(5, 0, -1):
+        types, c = np.unique(types & np.uint64((1 << 8 * order) - 1), return_counts=True)
+        tables.append((order, types, c))
+    text = "the grumbzot river"
+    want = []
+    for g in toxicity._packed(text):
+        p = 1 / 256
+        for order, kinds, c in reversed(tables):
+            p = probability(g & np.uint64((1 << 8 * order) - 1), order, kinds, c, p)
+        want.append(np.log(probability(g, 6, *toxic, p) / probability(g, 6, *ordinary, p)))
+    assert np.isclose(model.ratios(text), want, atol=0.02).mean() >= 0.8
+    _, pairs, c = tables[3]  # places of pairs don't collide
+    after_q = pairs >> np.uint64(8) == ord("q")
+    assert np.allclose(model.seen[2][pairs[after_q].astype(int)], np.maximum(c[after_q] - d, 0) / c[after_q].sum(), rtol=0.01)
+
+
 def test_languages_on_held_out_rows(spark):
     from tidemark.llm.langid import predicted_languages
 

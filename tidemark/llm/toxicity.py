@@ -23,13 +23,12 @@ from tidemark.llm.store import keep
 LABELLED, CURVE = 1_000_000, 40_000
 #: Characters of the longest gram.
 ORDER = 6
-#: Distinct grams of the model at most; beyond it the rarest are left to the shared backoff.
-GRAMS = 2_000_000
 #: Discount of every order; it leaves what one document alone has to the backoff.
 DISCOUNT = 1.5
 #: Characters of the spans whose ratios are compared.
 SPANS = (8, 24, 96)
-_BITS = {1: 8, 2: 16, 3: 20, 4: 20, 5: 21, 6: 21, 7: 21}
+#: Bits of a table's places: all characters or pairs, else these at least, and so many that SPARE places come to a gram.
+_BITS, SPARE = {1: 8, 2: 16, 3: 20, 4: 20, 5: 21, 6: 21}, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.array([32 if b in b"\t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 
@@ -45,10 +44,10 @@ def _packed(text: str) -> np.ndarray:
     return out
 
 
-def _slot(grams: np.ndarray, order: int) -> np.ndarray:
-    """Places of grams (their last ``order`` characters) in the table of that order."""
+def _slot(grams: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Places of grams (their last ``order`` characters) in the table of that order, of 2 ** ``bits`` places."""
     low = grams & np.uint64((1 << 8 * order) - 1)
-    return low.astype(np.int64) if order < 3 else ((low + np.uint64(order)) * _MIX >> np.uint64(64 - _BITS[order])).astype(np.int64)
+    return low.astype(np.int64) if order < 3 else ((low + np.uint64(order)) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -56,45 +55,50 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 class ToxicityModel:
-    """Tables of discounted probabilities and backoff weights; their sizes are fixed."""
+    """Tables of discounted probabilities and backoff weights; their sizes grow with what the counts hold.
 
-    def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+    ``levels`` has for the two classes (ORDER characters) and each lower order the grams counted twice or
+    more, their counts, and the contexts that have such a gram with the total and the discounts of all of
+    their grams.  A gram counted once has nothing left after the discount, and a context of such grams alone
+    backs off with weight 1 as an unseen one does, so neither needs a place.
+    """
+
+    def __init__(self, levels: dict):
+        self.bits = dict(_BITS)
+        for name, (grams, _, contexts, _, _) in levels.items():
+            order = name if isinstance(name, int) else ORDER
+            for k, n in ((order, len(grams)), (order - 1, len(contexts))):
+                if k > 2:
+                    self.bits[k] = max(self.bits[k], (SPARE * n).bit_length())
         self.seen, self.rest = {}, {}
-        for name, counts in (("toxic", toxic), ("ordinary", ordinary)):
-            has = counts > 0
-            self.seen[name], self.rest[name] = self._level(grams[has], counts[has].astype(float), ORDER)
-        types = grams
-        for order in range(ORDER - 1, 0, -1):
-            low, counts = np.unique(types & np.uint64((1 << 8 * order) - 1), return_counts=True)
-            self.seen[order], self.rest[order] = self._level(low, counts.astype(float), order)
-            types = low
+        for name, level in levels.items():
+            self.seen[name], self.rest[name] = self._level(*level, name if isinstance(name, int) else ORDER)
         self.weights = np.zeros(len(SPANS) + 3)
 
     def __getstate__(self):
         """Tables travel at half precision and compressed: they are mostly empty."""
         squeeze = lambda tables: {k: zstandard.compress(v.astype(np.float16).tobytes(), 3) for k, v in tables.items()}
-        return squeeze(self.seen), squeeze(self.rest), self.weights
+        return squeeze(self.seen), squeeze(self.rest), self.weights, self.bits
 
     def __setstate__(self, state):
         expand = lambda tables: {k: np.frombuffer(zstandard.decompress(v), np.float16).astype(np.float32) for k, v in tables.items()}
-        self.seen, self.rest, self.weights = expand(state[0]), expand(state[1]), state[2]
-
-    @staticmethod
-    def _level(grams, counts, order):
-        context = _slot(grams >> np.uint64(8), order - 1) if order > 1 else np.zeros(len(grams), np.int64)
-        size = 1 << _BITS[order - 1] if order > 1 else 1
-        total = np.bincount(context, counts, size)
-        taken = np.bincount(context, np.minimum(counts, DISCOUNT), size)
+        self.seen, self.rest, self.weights, self.bits = expand(state[0]), expand(state[1]), state[2], state[3]
+
+    def _level(self, grams, counts, contexts, totals, discounts, order):
+        place = lambda x: _slot(x, order - 1, self.bits[order - 1]) if order > 1 else np.zeros(len(x), np.int64)
+        size = 1 << self.bits[order - 1] if order > 1 else 1
+        total = np.bincount(place(contexts), totals, size)
+        taken = np.bincount(place(contexts), discounts, size)
         safe = np.maximum(total, 1)
-        seen = np.zeros(1 << _BITS[order], np.float32)
-        np.maximum.at(seen, _slot(grams, order), ((counts - DISCOUNT) / safe[context]).astype(np.float32))
+        seen = np.zeros(1 << self.bits[order], np.float32)
+        np.maximum.at(seen, _slot(grams, order, self.bits[order]), ((counts - DISCOUNT) / safe[place(grams >> np.uint64(8))]).astype(np.float32))
         return seen, np.where(total > 0, taken / safe, 1).astype(np.float32)
 
     def ratios(self, text: str) -> np.ndarray:
         """log P(character | toxic) - log P(character | ordinary) for each character."""
         g = _packed(text)
-        slots = {k: _slot(g, k) for k in range(1, ORDER + 1)}
-        context = {k: _slot(g >> np.uint64(8), k) for k in range(1, ORDER)}
+        slots = {k: _slot(g, k, self.bits[k]) for k in range(1, ORDER + 1)}
+        context = {k: _slot(g >> np.uint64(8), k, self.bits[k]) for k in range(1, ORDER)}
         p = self.seen[1][slots[1]] + self.rest[1][0] / 256
         for k in range(2, ORDER):
             p = self.seen[k][slots[k]] + self.rest[k][context[k - 1]] * p
@@ -163,6 +167,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(none if c else n), pa.array(n if c else none)], ["gram", "toxic", "ordinary"])
 
 
+def _levels(grams: DataFrame) -> dict:
+    """What ToxicityModel needs of each level; all grams count in the totals and as continuations."""
+    out = {}
+
+    def add(name, table):
+        many = table.where("c >= 2").toArrow()
+        discount = F.least(F.col("c").cast("double"), F.lit(DISCOUNT))
+        sums = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").cast("double").alias("total"), F.sum(discount).alias("taken"), F.max("c").alias("most"))
+        of = sums.where("most >= 2").select("context", "total", "taken").toArrow()
+        codes = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
+        out[name] = codes(many["gram"]), many["c"].to_numpy().astype(float), codes(of["context"]), of["total"].to_numpy().astype(float), of["taken"].to_numpy().astype(float)
+
+    for name in ("toxic", "ordinary"):
+        add(name, grams.where(f"{name} > 0").select("gram", F.col(name).alias("c")))
+    types = grams
+    for order in range(ORDER - 1, 0, -1):
+        types = keep(types.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
+        add(order, types)
+    return out
+
+
 def held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
@@ -177,14 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     marks = marks.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most 2 * LABELLED ids
     grams = keep(told.where("not curve").select("toxic", "text").mapInArrow(_counted, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    least, kinds = 1, 0
-    for r in reversed(grams.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("c")).count().orderBy("c").collect()):
-        kinds += r["count"]
-        if kinds > GRAMS:
-            least = r["c"] + 1
-            break
-    table = grams.where(F.col("toxic") + F.col("ordinary") >= least).toArrow()
-    model = ToxicityModel(table["gram"].to_numpy().view(np.uint64), table["toxic"].to_numpy(), table["ordinary"].to_numpy())
+    model = ToxicityModel(_levels(grams))
     shared = spark.sparkContext.broadcast(model)
 
     def curve(batches):
