@@ -318,3 +318,55 @@ def test_pipeline_keeps_columns_and_runs(spark, tmp_path, docs):
         now = spark.read.parquet(f"{tmp_path}/{i}-{name}")
         assert i == len(corpus_pipeline.STAGES) - 1 or now.columns == columns
     assert now.count() > 0
+
+
+@pytest.mark.parametrize("percent", [5, 50, 100])
+def test_leaks_against_brute_force_however_many_documents_hold_an_item(spark, percent):
+    import numpy as np
+
+    from tidemark.llm import leaks
+
+    rng = random.Random(percent)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)]
+    items = [text(n) for n in (36, 60, 20, 44, 90, 15)]
+
+    def paraphrase(item):
+        """The item with words left out and put in: no three of its words in a row stay."""
+        kept = [w for k, w in enumerate(item) if k % 7]
+        return [x for k, w in enumerate(kept) for x in ([w, f"x{rng.randrange(10**6)}"] if k % 2 else [w])]
+
+    rows = [(i, " ".join(text(30) + (items[0] if i % 100 < percent else text(36)) + text(25))) for i in range(200)]
+    rows += [(1000 + 10 * k + j, " ".join(text(40 + j) + paraphrase(item) + text(31))) for k, item in enumerate(items) for j in range(4)]
+    rows += [(2000, None), (2001, ""), (2002, " ".join(text(4000) + items[1] + text(3000))), (2003, rows[0][1]), (2003, rows[0][1])]
+    want = set()
+    for i, t in rows:
+        w = (t or "").split()
+        for k, item in enumerate(items):
+            share = max(leaks.common_subsequence(item, w[max(0, at - len(item)) : at + 28 + len(item)]) / len(item) for at in range(0, max(1, len(w)), 14))
+            if share >= 0.75 or share >= 0.5 and f" {' '.join(item[-6:])} " in f" {t} ":
+                want.add((i, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.benchmark_leaks(docs, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert {(i, 0) for i in range(200) if i % 100 < percent} | {(2002, 1)} <= got
+
+
+def test_the_latent_space_is_that_of_a_whole_svd(spark):
+    import numpy as np
+
+    from tidemark.llm import leaks
+
+    rng = random.Random(5)
+    items = [(i, " ".join(f"q{rng.randrange(60)}" for _ in range(40))) for i in range(30)]
+    terms = {w.encode(): i for i, w in enumerate(sorted({w for _, t in items for w in t.split()}), 1)}
+    idf = np.r_[0, np.linspace(1, 5, len(terms))].astype(np.float32)
+    basis, values = leaks.latent_space(spark.createDataFrame(items, "item_id long, text string"), terms, idf, 60)
+    rows = []
+    for _, t in items:
+        for part in leaks._item_passages(leaks._ids(t.encode().split(), terms)):
+            at, w = leaks._unit(part, idf)
+            rows.append(np.bincount(at, w, len(idf)))
+    want = np.linalg.svd(np.array(rows), compute_uv=False)
+    assert np.allclose(values, want[: len(values)], rtol=0.02) and (values**2).sum() >= 0.94 * (want**2).sum() and len(values) < len(want)
+    assert np.allclose(basis.T @ basis, np.eye(len(values)), atol=1e-4)

@@ -1,96 +1,190 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
-Benchmark items and documents are cut into overlapping passages with TF-IDF weights (document
-frequencies of all documents).  A randomised SVD of the items' passages, whose products are summed over
-partitions, gives the latent space; a document's passages are folded in and compared with the items' by
-cosine, the part outside the space counting in the norm.  Passages that share RUN words in a row with
-an item are candidates too, whatever their words weigh: a copy has them, and so has every item of which
-three quarters are left with nothing put between.  What comes near is a candidate only: the
-longest common subsequence with the item and, for looser matches, the item's answer (its last words) decide.
+Benchmark items and documents are cut into overlapping passages with TF-IDF weights over the items' words
+(document frequencies of all documents; a word that no item has stands in no item's passage and has no
+coordinate).  A randomised SVD of the items' passages, whose products are summed over partitions, gives the
+latent space, cut where its singular values hold ENERGY of the whole; a document's passages are folded in
+and compared with the items' by cosine there.  First of all each passage is held against the greatest
+weights of small groups of item passages: where not even their sum comes near, no item's cosine can.
+Passages that share RUN words in a row with an item are candidates too, whatever their words weigh.  What
+comes near is a candidate only: the longest common subsequence with the item and, for looser matches, the
+item's answer (its last words) decide.
+
+What the cut takes from an item's passage is made up for by the share that it leaves, so that a verbatim
+copy has the cosine 1 however many directions are left.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage (two halves; passages start at every half), hashed terms.
-PASSAGE, TERMS = 28, 1 << 16
+from tidemark.llm.words import texts, tidy
+
+#: Words of half a passage; passages start at every half and end with the next.
+HALF = 14
+PASSAGE = 2 * HALF
 #: Least weight of a word: those that all documents have count too.
 LEAST = 0.05
 #: Words in a row that make a candidate.
 RUN = 3
 #: Cosine of candidates; shares of an item's words, in order, that prove it alone or with its answer.
-NEAR, PROVED, LIKELY, ANSWER = 0.33, 0.75, 0.5, 6
-#: Passages of the items in a block, about; a block's latent space has a direction for each of them, so a cosine there is the one of all terms.
-BLOCK = 512
-#: Blocks that are broadcast and searched together.
+NEAR, PROVED, LIKELY, ANSWER = 0.45, 0.75, 0.5, 6
+#: Words of items that a passage has at least, for the cosine to be asked (all that an item proves itself by, if that is less).
+KNOWN = 4
+#: Share of the squared singular values that the latent space keeps, and directions that the range finder takes besides.
+ENERGY, SPARE = 0.95, 8
+#: Passages of the items in a block, about, which has a latent space of its own, and passages of a group in it.
+BLOCK, GROUP = 512, 8
+#: Blocks that are broadcast and searched together; with BLOCK it bounds the size of what is broadcast.
 TOGETHER = 4
-#: Distinct words whose terms a worker remembers.
-REMEMBERED = 1_200_000
+#: Tasks that add up the products of one block's passages.
+PARTS = 4
+#: Words of texts that are folded in at once.
+AT_ONCE = 1 << 17
 _MARKS = bytes(range(33, 48)) + b":;?@[]^_`{|}~" + b"\\"
+_LOWER = bytes(range(256)).lower()
 
 
-class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word) & (TERMS - 1)
-        return value
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER, _MARKS).split()
 
 
-_terms = _Terms()
+def _ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(terms.get, words, repeat(0)), np.int32, len(words))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().translate(None, _MARKS).split()
+def _frequencies(shared):
+    """Of each term of the items the number of a task's texts that have it; of 0 that of all texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        seen = np.zeros(len(terms) + 1, np.int64)
+        for batch in batches:
+            for text in texts(batch.column("text")):
+                seen[np.fromiter(filter(None, map(terms.get, set(_words(text)))), np.int64)] += 1
+            seen[0] += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "c"])
 
-def _ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+    return tidy(run)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(TERMS + 1, np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen[np.unique(_ids(_words(text)))] += 1
-            seen[TERMS] += 1
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "c"])
+def weights(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+    """Inverse document frequency of each term over all documents; 0 at place 0, for words that are none."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    table = docs.select("text").mapInArrow(_frequencies(shared), "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    shared.unpersist()
+    seen = np.zeros(len(terms) + 1)
+    seen[table["term"].to_numpy()] = table["c"].to_numpy()
+    out = np.maximum(np.log((1 + seen[0]) / (1 + seen)), LEAST).astype(np.float32)
+    out[0] = 0
+    return out
 
 
-def weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each hashed term over all documents."""
-    table = docs.select("text").mapInArrow(_frequencies, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
-    seen = np.zeros(TERMS + 1)
-    seen[table["term"].to_numpy()] = table["c"].to_numpy()
-    n = max(1, seen[TERMS])
-    # a term's words share its count; what no document has is as rare as can be
-    return np.maximum(np.log((1 + n) / (1 + seen[:TERMS])), LEAST).astype(np.float32)
+def _item_passages(ids: np.ndarray) -> list[np.ndarray]:
+    return [ids[at : at + PASSAGE] for at in range(0, max(1, len(ids) - HALF), HALF)] if len(ids) else []
+
+
+def _unit(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = np.unique(ids, return_counts=True)
+    w = counts * idf[terms]
+    return terms, (w / np.sqrt((w * w).sum())).astype(np.float32)
+
+
+def latent_space(items: DataFrame, terms: dict[bytes, int], idf: np.ndarray, rank: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """The right singular vectors (terms x directions, ``rank`` at most) and singular values of the items' TF-IDF passages A, by a randomised SVD.
+
+    Each task adds up A'(A X) of its passages, twice: for a seeded random X and for the orthonormal basis of
+    the first sum; then the Gram matrix of A Q, whose eigenvectors turn Q.  The first directions that hold
+    ENERGY of the squared singular values stay.
+    """
+    spark = items.sparkSession
+    size = len(terms) + 1
+    width = min(rank + SPARE, size)
+
+    def passages(batches):
+        words, idf, basis = shared.value
+        basis = np.random.default_rng(seed).normal(size=(size, width)) if basis is None else basis
+        for batch in batches:
+            for text in texts(batch.column("text")):
+                for ids in _item_passages(_ids(_words(text), words)):
+                    at, w = _unit(ids, idf)
+                    yield at, w, w @ basis[at]
+
+    def products(batches):
+        sums = np.zeros((size, width))
+        for at, w, y in passages(batches):
+            sums[at] += w[:, None] * y
+        at = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([x.tobytes() for x in sums[at]], pa.binary())], ["term", "sums"])
+
+    def gram(batches):
+        sums = np.zeros((width, width))
+        for _, _, y in passages(batches):
+            sums += y[:, None] * y
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["term", "sums"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for t, x in zip(batch.column("term").to_pylist(), batch.column("sums").to_pylist()):
+                total[t] = total.get(t, 0) + np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["term", "sums"])
+
+    basis = None
+    for step in (products, products, gram):
+        shared = spark.sparkContext.broadcast((terms, idf, basis))
+        table = items.select("text").coalesce(PARTS).mapInArrow(step, "term long, sums binary").repartition("term").mapInArrow(added, "term long, sums binary").toArrow()
+        shared.unpersist()
+        found = np.frombuffer(b"".join(table["sums"].to_pylist())).reshape(-1, width)
+        if step is products:
+            basis = np.zeros((size, width))
+            basis[table["term"].to_numpy()] = found
+            basis = np.linalg.qr(basis)[0]
+    squares, turn = np.linalg.eigh(found)
+    squares = np.maximum(squares[::-1], 0)
+    stay = min(rank, 1 + int(np.searchsorted(np.cumsum(squares), ENERGY * squares.sum())))
+    return (basis @ turn[:, ::-1][:, :stay]).astype(np.float32), np.sqrt(squares[:stay])
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a word of bits for each word of ``b``."""
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for w in b:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
 
 
 def _runs(ids: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` terms from each place on, in one number."""
+    """The ``length`` terms from each place on, in one number; 0 where one is no term."""
     out = ids[: max(0, len(ids) - length + 1)].astype(np.uint64)
+    whole = out > 0
     for k in range(1, length):
-        out |= ids[k : k + len(out)].astype(np.uint64) << np.uint64(16 * k)
-    return out
+        more = ids[k : k + len(out)]
+        out |= more.astype(np.uint64) << np.uint64(21 * k)
+        whole &= more > 0
+    return np.where(whole, out, 0)
 
 
 class _Runs:
     """Runs of the items, each of RUN terms or of a shorter item's, and the items that have them."""
 
-    def __init__(self, items: list[list[bytes]]):
+    def __init__(self, items: list[np.ndarray]):
         self.by_length = []
         for length in range(1, RUN + 1):
-            pairs = [(int(run), k) for k, words in enumerate(items) if words and min(len(words), RUN) == length for run in np.unique(_runs(_ids(words), length))]
+            pairs = [(int(run), k) for k, ids in enumerate(items) if min(len(ids), RUN) == length for run in np.unique(_runs(ids, length))]
             if pairs:
                 keys = np.array([run for run, _ in pairs], np.uint64)
                 order = np.argsort(keys, kind="stable")
@@ -102,244 +196,184 @@ class _Runs:
     def _place(runs: np.ndarray) -> np.ndarray:
         return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
-    def found(self, ids: np.ndarray):
-        """(half passage, item) of each run of an item, once."""
+    def found(self, ids: np.ndarray) -> set[tuple[int, int]]:
+        """(half passage, item) of each run of an item."""
         out = set()
         for length, keys, owner, maybe in self.by_length:
             runs = _runs(ids, length)
-            at = np.flatnonzero(maybe[self._place(runs)])
+            at = np.flatnonzero(maybe[self._place(runs)] & (runs > 0))
             low, high = np.searchsorted(keys, runs[at]), np.searchsorted(keys, runs[at], "right")
             for i in np.flatnonzero(high > low):
-                out.update((int(at[i]) // (PASSAGE // 2), int(k)) for k in owner[low[i] : high[i]])
-        return sorted(out)
-
-
-def _item_passages(words: list[bytes]) -> list[np.ndarray]:
-    ids = _ids(words)
-    return [ids[at : at + PASSAGE] for at in range(0, max(1, len(ids) - PASSAGE // 2), PASSAGE // 2)] if len(ids) else []
+                out.update((int(at[i]) // HALF, int(k)) for k in owner[low[i] : high[i]])
+        return out
 
 
-def _unit(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, counts = np.unique(ids, return_counts=True)
-    w = counts * idf[terms]
-    norm = np.sqrt((w * w).sum())
-    return terms, (w / norm if norm else w).astype(np.float32)
-
-
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of the items and an orthonormal basis (terms x rank), by a randomised range finder with one power step.
+class Matcher:
+    """Items of one block with what the search needs; broadcast to the workers.
 
-    Each task adds up A'(A X) of its passages A; the sums, of a fixed number of columns, are added by term.
+    Items are given as numbers of terms; ``idf`` and ``basis`` have a row for each term, and an empty row 0.
     """
-    spark = items.sparkSession
-    basis = None
-    for _ in range(2):
-        shared = spark.sparkContext.broadcast((idf, basis))
-
-        def products(batches):
-            idf, basis = shared.value
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    for ids in _item_passages(_words(text)):
-                        terms, w = _unit(ids, idf)
-                        x = basis[1][np.searchsorted(basis[0], terms)] if basis else np.stack([np.random.default_rng([seed, int(t)]).normal(size=rank) for t in terms])
-                        y = w @ x
-                        for t, v in zip(terms.tolist(), w):
-                            sums[t] = sums.get(t, 0) + v * y
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float64).tobytes() for x in sums.values()], pa.binary())], ["term", "sums"])
-
-        def added(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for t, x in zip(batch.column("term").to_pylist(), batch.column("sums").to_pylist()):
-                    total[t] = total.get(t, 0) + np.frombuffer(x)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["term", "sums"])
-
-        table = items.select("text").mapInArrow(products, "term long, sums binary").repartition("term").mapInArrow(added, "term long, sums binary").toArrow()
-        terms = np.array(table["term"].to_pylist(), np.int64)
-        if not len(terms):
-            return terms, np.zeros((0, rank), np.float32)
-        order = np.argsort(terms)
-        q, _ = np.linalg.qr(np.stack([np.frombuffer(table["sums"][int(i)].as_py()) for i in order]))
-        basis = terms[order], q
-    return basis[0], basis[1].astype(np.float32)
-
-
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, a word of bits for each word of ``b``."""
-    places: dict[bytes, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for w in b:
-        u = v & places.get(w, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
 
+    def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray, basis: np.ndarray):
+        self.names, self.items = [i for i, _ in items], [ids for _, ids in items]
+        self.idf, self.weighted = idf, basis * idf[:, None]
+        parts = [(k, *_unit(part, idf)) for k, ids in enumerate(self.items) for part in _item_passages(ids)]
+        self.owner = np.array([k for k, _, _ in parts], np.int64)
+        self.peaks = np.zeros((len(idf), -(-len(parts) // GROUP)), np.float32)  # of each term, the most that it weighs in a group
+        vectors = []
+        for n, (_, at, w) in enumerate(parts):
+            self.peaks[at, n // GROUP] = np.maximum(self.peaks[at, n // GROUP], w)
+            latent = w @ basis[at]
+            vectors.append(latent / max(float(latent @ latent), 1e-9))
+        self.peaks *= idf[:, None]
+        self.vectors = np.array(vectors, np.float32)
+        self.counts = [Counter(ids.tolist()) for ids in self.items]
+        self.runs = _Runs(self.items)
+        self.known = min(KNOWN, *(int(np.ceil(PROVED * len(ids))) for ids in self.items))
 
-class Matcher:
-    """Items of one block with what the search needs; broadcast to the workers."""
-
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, terms: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf, basis
-        self.row = np.zeros(TERMS, np.int32)
-        self.row[terms] = np.arange(1, len(terms) + 1)
-        self.items, owner, vectors = [], [], []
-        for i, text in items:
-            words = _words(text)
-            for ids in _item_passages(words):
-                t, w = _unit(ids, idf)
-                latent = w @ basis[np.searchsorted(terms, t)]
-                owner.append(len(self.items))
-                vectors.append(latent / max(float(np.linalg.norm(latent)), 1e-9))
-            self.items.append((i, words))
-        self.counts = [Counter(words) for _, words in self.items]
-        self.runs = _Runs([words for _, words in self.items])
-        self.peak = np.zeros(TERMS, np.float32)  # of each term, the most that it weighs in a passage of the items
-        for _, words in self.items:
-            for ids in _item_passages(words):
-                t, w = _unit(ids, idf)
-                self.peak[t] = np.maximum(self.peak[t], w)
-        self.owner = np.array(owner, np.int64)
-        self.vectors = np.array(vectors, np.float32).reshape(len(owner), basis.shape[1])
-        self.padded = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), basis])
-
-    def candidates(self, ids: np.ndarray):
-        """(passage, item, cosine) where the passage comes near one of the item's."""
-        half = PASSAGE // 2
-        w = self.idf[ids]
-        rows = self.row[ids]
-        starts = np.arange(0, len(ids), half)
-        inside = np.add.reduceat(np.where(rows > 0, w * w, 0), starts)
-        whole = np.add.reduceat(w * w, starts)
-        most = np.add.reduceat(w * self.peak[ids], starts)
-        after = lambda x: np.r_[x[1:], np.zeros_like(x[:1])]
-        norm, known = whole + after(whole), inside + after(inside)
-        reach = most + after(most)
-        open_ = np.flatnonzero((known > 0) & (known >= NEAR * NEAR * norm) & (reach >= 0.999 * NEAR * np.sqrt(norm)))  # the cosine of no other passage reaches NEAR
-        if not len(open_):
-            return
-        needed = np.zeros(len(starts) + 1, bool)
-        needed[open_] = needed[open_ + 1] = True
-        hit = np.flatnonzero((rows > 0) & needed[np.arange(len(ids)) // half])
-        place = np.flatnonzero(needed)
-        to = np.zeros(len(starts) + 1, np.int64)
-        to[place] = np.arange(len(place))
-        dealt = np.zeros((len(place) * half, 2), np.float32)  # row and weight of each word of each needed half
-        spot = to[hit // half] * half + hit % half
-        dealt[spot, 0], dealt[spot, 1] = rows[hit], w[hit]
-        of_half = np.empty((len(place), self.padded.shape[1]), np.float32)
-        for at in range(0, len(place), 16):  # few at a time stay in the cache
-            part = dealt[at * half : (at + 16) * half]
-            x = self.padded[part[:, 0].astype(np.int64)].reshape(-1, half, self.padded.shape[1])
-            np.matmul(part[:, 1].reshape(-1, 1, half), x, out=of_half[at : at + 16, None])
-        for at in range(0, len(open_), 512):
-            here = open_[at : at + 512]
-            cosines = (of_half[to[here]] + of_half[to[here + 1]]) @ self.vectors.T
-            cosines /= np.sqrt(norm[here])[:, None]  # a term that repeats counts less here than in the true norm: no candidate is lost
-            for p, k in zip(*np.nonzero(cosines >= NEAR)):
-                yield int(here[p]), int(self.owner[k]), min(1.0, float(cosines[p, k]))
-
-    def cosine(self, ids: np.ndarray, passage: int, item: int) -> float:
-        """The cosine of a document's passage with the item's nearest one."""
-        at = passage * (PASSAGE // 2)
-        part = ids[at : at + PASSAGE]
-        w, rows = self.idf[part], self.row[part]
-        latent = w @ self.padded[rows]
-        return float(np.clip((self.vectors[self.owner == item] @ latent).max() / np.sqrt((w * w).sum()), 0, 1))
-
-    def leaks(self, words: list[bytes], ids: np.ndarray) -> list[tuple[int, float, float, bool]]:
-        """(item id, cosine, share of the item's words found in order, answer found) of each proved item."""
-        if not words or not len(self.owner):
-            return []
-        best: dict[int, tuple[float, float, bool]] = {}
-        near = list(self.candidates(ids))
-        cosines = {(p, k): cosine for p, k, cosine in near}
-        runs = [(p, k, self.cosine(ids, p, k)) for p, k in self.runs.found(ids) if (p, k) not in cosines]
-        for p, k, cosine in near + runs:
-            i, item = self.items[k]
-            if k in best and best[k][1] >= 1:
+    @staticmethod
+    def _sums(table: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """Sum of the table's rows over each row of HALF terms; few at a time stay in the cache."""
+        out = np.empty((len(halves), table.shape[1]), np.float32)
+        for at in range(0, len(halves), 64):
+            table[halves[at : at + 64]].sum(1, out=out[at : at + 64])
+        return out
+
+    def _near(self, halves: np.ndarray) -> dict[tuple[int, int], float]:
+        """The cosine of (half passage, item) where it is NEAR or more; a passage is a row of ``halves`` and the next."""
+        out: dict[tuple[int, int], float] = {}
+        known, w = (halves > 0).sum(1), self.idf[halves]
+        norm = np.einsum("ij,ij->i", w, w)
+        # a term that repeats counts less here than in the true norm: no candidate is lost
+        norm = np.maximum(np.sqrt(norm[:-1] + norm[1:]), 1e-6)
+        maybe = known[:-1] + known[1:] >= self.known
+        for at in range(0, len(norm), 4096):
+            most = self._sums(self.peaks, halves[at : at + 4097])
+            maybe[at : at + 4096] &= (most[:-1] + most[1:]).max(1) >= 0.999 * NEAR * norm[at : at + 4096]
+        open_ = np.flatnonzero(maybe)
+        for at in range(0, len(open_), 2048):
+            here = open_[at : at + 2048]
+            used = np.unique(np.r_[here, here + 1])
+            of = self._sums(self.weighted, halves[used])
+            cosines = (of[np.searchsorted(used, here)] + of[np.searchsorted(used, here + 1)]) @ self.vectors.T / norm[here, None]
+            rows, columns = np.nonzero(cosines >= NEAR)
+            for p, k, x in zip(here[rows].tolist(), self.owner[columns].tolist(), cosines[rows, columns].tolist()):
+                out[p, k] = max(out.get((p, k), 0.0), min(x, 1.0))
+        return out
+
+    def _cosine(self, halves: np.ndarray, passage: int, item: int) -> float:
+        part = halves[passage : passage + 2]
+        latent = self._sums(self.weighted, part).sum(0)
+        return float(np.clip((self.vectors[self.owner == item] @ latent).max() / max(float(np.sqrt((self.idf[part] ** 2).sum())), 1e-6), 0, 1))
+
+    def _verified(self, ids: np.ndarray, item: int, passage: int) -> tuple[float, bool] | None:
+        """Share of the item's words found in order around a passage and whether its answer is there; None if they prove nothing."""
+        own, counts = self.items[item], self.counts[item]
+        part = ids[max(0, passage * HALF - len(own)) : passage * HALF + PASSAGE + len(own)].tolist()
+        if sum(map(counts.__getitem__, counts.keys() & set(part))) < LIKELY * len(own):
+            return None  # no longer subsequence either
+        share = common_subsequence(own.tolist(), part) / len(own)
+        answer = own[-ANSWER:].tolist()
+        told = any(part[i : i + len(answer)] == answer for i, w in enumerate(part) if w == answer[0])
+        return (share, told) if share >= PROVED or share >= LIKELY and told else None
+
+    def search(self, held: list[np.ndarray], first: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, int, float, float, bool]]:
+        """(place of the text, item id, cosine, share of the item's words found in order, answer found) of each proved item."""
+        halves = flat.reshape(-1, HALF)
+        near = self._near(halves)
+        best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+        places = [*near, *(x for x in self.runs.found(flat) if x not in near)]
+        for (p, k), t in zip(places, (np.searchsorted(first, [p for p, _ in places], "right") - 1).tolist()):
+            if (t, k) in best and best[t, k][1] >= 1:
                 continue
-            at = p * (PASSAGE // 2)
-            part = words[max(0, at - len(item)) : at + PASSAGE + len(item)]
-            counts = self.counts[k]
-            if sum(map(counts.__getitem__, counts.keys() & set(part))) < LIKELY * len(item):
-                continue  # no longer subsequence either
-            share = common_subsequence(item, part) / len(item)
-            answer = b" ".join(item[-ANSWER:])
-            told = b" %b " % answer in b" %b " % b" ".join(part)
-            if (share >= PROVED or share >= LIKELY and told) and (k not in best or share > best[k][1]):
-                best[k] = (cosine, share, told)
-        return [(self.items[k][0], *v) for k, v in sorted(best.items())]
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = self._verified(held[t], k, p - int(first[t]))
+            if found and ((t, k) not in best or found[0] > best[t, k][1]):
+                best[t, k] = (near[p, k] if (p, k) in near else self._cosine(halves, p, k), *found)
+        return ((t, self.names[k], *v) for (t, k), v in sorted(best.items()))
+
+
+def leaks(column: list[bytes], terms: dict[bytes, int], blocks: list[Matcher]) -> Iterator[tuple[int, int, float, float, bool]]:
+    """(place in ``column``, item id, cosine, share, answer found) of each item that a block proves."""
+    held: list[np.ndarray] = []
+    start = size = 0
+    for n, text in enumerate(column):
+        held.append(_ids(_words(text), terms))
+        size += len(held[-1])
+        if size > AT_ONCE or n == len(column) - 1:
+            first = np.r_[0, np.cumsum([len(x) // HALF + 1 for x in held])]  # a text ends with an empty place at least
+            flat = np.zeros((first[-1] + 1) * HALF, np.int32)
+            for at, x in zip(first.tolist(), held):
+                flat[at * HALF : at * HALF + len(x)] = x
+            for block in blocks:
+                yield from ((start + t, *rest) for t, *rest in block.search(held, first, flat))
+            held, start, size = [], n + 1, 0
+
+
+def _passage_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([len(_item_passages(_words(t))) for t in batch.column("text").to_pylist()], pa.int64())], ["c"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(_item_passages(np.array(_words(x)))) for x in texts(batch.column("text"))], pa.int64())], ["c"])
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Matcher]]:
-    """A matcher for each block of items, TOGETHER at once; the blocks grow in number with the items, not in size."""
+def matchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[dict[bytes, int], list[Matcher]]]:
+    """The terms and matchers of TOGETHER blocks of items at once; the blocks grow in number with the items, not in size."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = -(-(items.select("text").mapInArrow(_counts, "c long").agg(F.sum("c")).first()[0] or 0) // BLOCK)
-    idf = weights(docs) if blocks else None
-    group = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        held = sorted(map(tuple, block.collect()))
-        passages = sum(len(_item_passages(_words(t))) for _, t in held)
-        if passages:
-            group.append(Matcher(held, idf, *latent_space(block, idf, passages)))
-        if len(group) == TOGETHER:
-            yield group
-            group = []
-    if group:
-        yield group
-
-
-def _found(text: str | None, group: list[Matcher]) -> Iterator[tuple[int, float, float, bool]]:
-    words = _words(text)
-    ids = _ids(words)
-    for matcher in group:
-        yield from matcher.leaks(words, ids)
+    blocks = -(-(items.select("text").mapInArrow(_passage_counts, "c long").agg(F.sum("c")).first()[0] or 0) // BLOCK)
+    for start in range(0, blocks, TOGETHER):
+        parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(start, min(blocks, start + TOGETHER))]
+        held = [[(i, words) for i, text in sorted(map(tuple, part.collect())) if (words := _words(text.encode()))] for part in parts]
+        terms = {w: i for i, w in enumerate(sorted({w for block in held for _, words in block for w in words}), 1)}
+        if terms:
+            idf = weights(docs, terms)
+            numbered = [[(i, _ids(words, terms)) for i, words in block] for block in held]
+            rank = lambda block: sum(len(_item_passages(ids)) for _, ids in block)
+            yield terms, [Matcher(block, idf, latent_space(part, terms, idf, rank(block))[0]) for part, block in zip(parts, numbered) if block]
+
+
+def _searched(slim: DataFrame, group: tuple[dict[bytes, int], list[Matcher]], answer: Callable, schema) -> DataFrame:
+    """``answer(batch, found)`` of each batch, found being what the group proves of its column text."""
+    shared = slim.sparkSession.sparkContext.broadcast(group)
+    at = slim.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield answer(batch, list(leaks(texts(batch.column(at)), *shared.value)))
+
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_found: the items that each contaminated document holds.
 
-    A null or empty text holds none.  Repeated rows give repeated results.  Items without id or text
-    are left out; several texts of one item_id are searched each.  Empty tables give an empty
-    result; other columns are ignored.
+    A null or empty text holds none; a very long one is searched whole.  Repeated rows give repeated results,
+    as does a document that holds several items; of an item's places in a text the one with the most of it
+    counts, the first of equal ones.  Items without id or text are left out; several texts of one item_id are
+    searched each.  Empty tables give an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean"
-    out = spark.createDataFrame([], schema)
-    for group in matchers(docs, benchmark):
-        shared = spark.sparkContext.broadcast(group)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                found = [(i, *leak) for i, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))) for leak in _found(text, shared.value)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
+    def rows(batch, found):
+        ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.bool_()), 1))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
 
-        out = out.unionByName(slim.mapInArrow(run, schema))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for group in matchers(docs, benchmark):
+        out = out.unionByName(_searched(slim, group, rows, schema))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item."""
-    spark = docs.sparkSession
-    at = docs.columns.index("text")
-    out = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    for group in matchers(docs, benchmark):
-        shared = spark.sparkContext.broadcast(group)
+    """``docs`` without the rows whose text holds a benchmark item.
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                yield batch.filter(pa.array([next(_found(x, shared.value), None) is None for x in batch.column(at).to_pylist()], pa.bool_()))
+    Null and empty texts and rows without doc_id stay, repeated rows stay or go alike; columns keep their names, types and order.
+    """
+
+    def clean(batch, found):
+        stay = np.ones(batch.num_rows, bool)
+        stay[[x[0] for x in found]] = False
+        return batch.filter(pa.array(stay))
 
-        out = out.mapInArrow(run, out.schema)
+    out = docs.toDF(*("text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)))
+    for group in matchers(docs, benchmark):
+        out = _searched(out, group, clean, out.schema)
     return out.toDF(*docs.columns)

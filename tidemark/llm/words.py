@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-#: Distinct words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 200_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
 
@@ -23,6 +27,26 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when the task ends, the worker, which other stages use again, gives back what it remembered."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return tidied
+
+
+def _release() -> None:
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -78,7 +102,7 @@ def _pack(batches):
 
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with text as compressed binary, for the shuffle of whole documents."""
-    return docs.mapInArrow(_pack, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
+    return docs.mapInArrow(tidy(_pack), T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]))
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
