@@ -47,9 +47,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.chat import neighbours, preference_rows
+    from tidemark.llm.chat import contrasted, preference_parts
 
-    return preference_rows(neighbours(_table(spark, sf_dir, "conversations")))
+    return preference_parts(contrasted(_table(spark, sf_dir, "conversations")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +103,21 @@ k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, list_transform(
       FROM w LEFT JOIN h ON h.doc_id = w.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM k""",
     "op5_chat_formatting": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations),
+WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
+x AS (SELECT c.*, last FROM c JOIN l ON c.conv_id = l.conv_id WHERE turn <= last),
+n AS (SELECT conv_id AS pair_id, CASE WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE conv_id - 1 END AS other FROM l),
+m AS (SELECT pair_id, other FROM n WHERE other IN (SELECT conv_id FROM l)),
+t AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM x
+      UNION ALL SELECT conv_id, 1, turn, role, text FROM x WHERE turn < last AND conv_id IN (SELECT pair_id FROM m)
+      UNION ALL SELECT m.pair_id, 1, l.last, x.role, x.text FROM m JOIN x ON x.conv_id = m.other AND x.turn = x.last AND x.role = 'assistant' JOIN l ON l.conv_id = m.pair_id),
 b AS (SELECT pair_id, turn, list((role, text) ORDER BY role, text) FILTER (side = 0) AS a, list((role, text) ORDER BY role, text) FILTER (side = 1) AS b FROM t GROUP BY pair_id, turn),
 d AS (SELECT pair_id, min(turn) AS parted FROM b WHERE a IS DISTINCT FROM b GROUP BY pair_id),
-p AS (SELECT t.*, CASE WHEN parted IS NULL OR turn < parted THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part FROM t LEFT JOIN d ON d.pair_id = t.pair_id)
-SELECT pair_id, part, turn, role, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS loss_mask,
-       '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM p WHERE part <> 'prompt' OR side = 0""",
+p AS (SELECT t.*, CASE WHEN parted IS NULL OR turn < parted THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part FROM t LEFT JOIN d ON d.pair_id = t.pair_id),
+r AS (SELECT pair_id, part, turn, turn // 256 AS segment, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN '1' ELSE '0' END AS mask,
+        '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered FROM p WHERE part <> 'prompt' OR side = 0)
+SELECT pair_id, part, CAST(segment AS BIGINT) AS segment, min(turn) AS first_turn, count(*) AS n_turns, string_agg(rendered, '' ORDER BY turn, rendered) AS rendered, string_agg(mask, '' ORDER BY turn, rendered) AS loss_mask
+FROM r GROUP BY pair_id, part, segment""",
     "op7_sharding": """
 WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT))) AS c),
 x AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
