@@ -7,23 +7,25 @@ batches and their probabilities averaged by length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import texts
+from tidemark.llm.store import keep
+from tidemark.llm.words import texts, tidy
 
-#: Documents of the training sample (a seeded draw) and windows of each; both bound what the driver holds.
-SAMPLE, WINDOWS = 12_000, 4
-#: Bytes of a window, widths of filters, filters of each width, and languages at most.
-LENGTH, WIDTHS, FILTERS, LANGUAGES = 64, (2, 3, 4), 16, 256
+#: Documents of the training sample (a seeded draw), those of each language at least (all, if it has fewer), and
+#: windows of each document; they bound what the driver holds.  The network has an output for every language.
+SAMPLE, LEAST, WINDOWS = 12_000, 100, 4
+#: Bytes of a window, widths of filters, and filters of each width.
+LENGTH, WIDTHS, FILTERS = 64, (2, 3, 4), 16
 STEPS, BATCH, RATE = 900, 256, 0.01
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _windows(text: bytes) -> np.ndarray:
@@ -130,16 +132,19 @@ def held_out():
 
 
 def learn(docs: DataFrame) -> ByteNetwork | None:
-    told = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    count = told.count()
+    """A network fitted on the sample of labelled rows that are not held out; None without such rows."""
+    told = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
+    counts = keep(told.groupBy("lang").agg(F.count("*").alias("c")))  # no larger than the network's last layer
+    count = counts.agg(F.sum("c")).first()[0] or 0
+    rates = counts.select(F.col("lang").alias("name"), F.greatest(F.lit(SAMPLE / max(1, count)), LEAST / F.col("c")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / (1 << 30)
-    table = told.where(draw < min(1.0, SAMPLE / max(1, count))).select("lang", "text").mapInArrow(_training, "lang string, bytes binary").toArrow()
+    sample = told.withColumn("draw", draw).join(F.broadcast(rates), F.col("lang") == F.col("name")).where("draw < rate")
+    table = sample.select("lang", "text").mapInArrow(tidy(_training), "lang string, bytes binary").toArrow()
     if not table.num_rows:
         return None
-    names, counts = np.unique(table["lang"].to_numpy(zero_copy_only=False).astype(str), return_counts=True)
-    names = sorted(names[np.argsort(-counts, kind="stable")][:LANGUAGES])
+    names = sorted(set(table["lang"].to_pylist()))
     place = {n: i for i, n in enumerate(names)}
-    rows = sorted((r for r in zip(table["lang"].to_pylist(), table["bytes"].to_pylist()) if r[0] in place))
+    rows = sorted(zip(table["lang"].to_pylist(), table["bytes"].to_pylist()))
     net = ByteNetwork(names)
     net.train(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, LENGTH), np.array([place[r[0]] for r in rows]))
     return net
@@ -149,7 +154,7 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of ``docs``.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where nothing can
-    be learned.  A null doc_id counts as the empty text for held_out and is not learned from.
+    be learned.  A very long text is read whole; of equally likely languages the first by name is taken.  A null doc_id counts as the empty text for held_out and is not learned from.
     Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     net = docs.sparkSession.sparkContext.broadcast(learn(docs))
@@ -179,5 +184,5 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
                 i += 1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return slim.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
