@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import grams, hashed, texts
+from tidemark.llm.words import grams, hashed, texts, tidy
 
 #: The characters that count as symbols, and white space.
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -25,8 +25,8 @@ PRECISION, REACH = 2000, 3.0
 SLACK = {"symbols": 0.1, "repeats": 0.2, "dup_lines": 0.2, "word_length": 1.5}
 
 
-def measures(text: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
     words = text.split()
     n = len(words)
     solid = text.translate(None, SPACE)
@@ -43,34 +43,40 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
             for k in range(3):
                 covered[k : k + len(g)] |= twice
             repeats = int(covered.sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats
+    return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines)
 
 
+#: Groups whose sketches (some 200 bytes each) are broadcast; with more of them the join deals out both sides.
+GROUPS = 50_000
+
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([measures(x) for x in texts(batch.column("text"))], np.int64).reshape(-1, 5)
-        lines = [len([1 for y in x.split(b"\n") if y.strip(SPACE)]) for x in texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(found[:, i]) for i in range(5)), pa.array(lines, pa.int64())], ["doc_id", "lang", "source", *_COLUMNS, "n_lines"])
+        found = np.array([measures(x) for x in texts(batch.column("text"))], np.int64).reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(found[:, i]) for i in range(6))], ["doc_id", "lang", "source", *_COLUMNS, "n_lines"])
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row.
 
     A null or empty text has no words and fails the base rules.  A null lang or source is a group of
-    its own.  Repeated rows and rows without doc_id stay.  An empty table gives an empty result;
-    other columns are ignored.
+    its own; a group whose every text fails them keeps none.  Quartiles are the least values that a quarter and
+    three quarters of the group's rows do not exceed, so ties and repeated rows count each.  A very long text is
+    measured whole.  Repeated rows and rows without doc_id stay.  An empty table gives an empty result; other
+    columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
-    rows = keep(slim.mapInArrow(_measured, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in [*_COLUMNS, "n_lines"])))
+    rows = keep(slim.mapInArrow(tidy(_measured), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in [*_COLUMNS, "n_lines"])))
     rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumns({
         "symbols": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), "repeats": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
         "dup_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
         "group": F.struct(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source")),
     })
-    sketches = rows.where("not base_failed").groupBy("group").agg(*(F.percentile_approx(m, [0.25, 0.75], PRECISION).alias(f"q_{m}") for m in SLACK))
+    sketches = keep(rows.where("not base_failed").groupBy("group").agg(*(F.percentile_approx(m, [0.25, 0.75], PRECISION).alias(f"q_{m}") for m in SLACK)))
+    if sketches.limit(GROUPS + 1).count() <= GROUPS:
+        sketches = F.broadcast(sketches)
     inside = F.lit(True)
     for m, slack in SLACK.items():
         low, high = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
