@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.store import keep
-from tidemark.llm.words import packed, shingles, texts, unpacked
+from tidemark.llm.words import packed, shingles, texts, tidy, unpacked
 
 #: Tokens that the order puts last; the list is broadcast, so this bounds its size.
 FREQUENT = 65_536
 #: A task reports a token that it saw so often; a sum of so many makes a token frequent.
 SEEN, OFTEN = 4, 16
 #: Tokens that a task counts exactly before it forgets the rare ones.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Sets in one chunk of a group, and queries that one copy of a chunk answers.
 CHUNK, ASKED = 128, 2048
 
@@ -237,7 +237,7 @@ def _links(asks: DataFrame, members: DataFrame, sets: DataFrame, k: int, percent
     members = members.join(asks.select("chunk", "copy").distinct(), "chunk")
     rows = members.withColumn("kind", F.lit(0)).unionByName(asks.withColumn("kind", F.lit(1))).join(sets, "key")
     rows = rows.select(F.xxhash64("chunk", "copy").alias("chunk"), "kind", "label", "text")
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_answers(k, percent), "u long, v long").distinct()
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidy(_answers(k, percent)), "u long, v long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -246,24 +246,25 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     A null or blank text has an empty set, linked with nothing (component_id: its own doc_id).
     A row without doc_id links with nothing and has a null component_id.  Repeated rows stay.
-    An empty table gives an empty result; other columns of ``docs`` are ignored.
+    A very long text counts whole; ties between groups go to the greater key and change no result.
+    An empty table gives an empty result; other columns of ``docs`` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = keep(docs.mapInArrow(_scan(k), "doc_id long, n long, key long, seen long"))
+    scanned = keep(docs.mapInArrow(tidy(_scan(k)), "doc_id long, n long, key long, seen long"))
     of_docs = scanned.where("seen is null").select("doc_id", "n", "key")
     often = scanned.where("seen is not null").groupBy("key").agg(F.sum("seen").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
     common = np.array([r["key"] for r in often], np.int64)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], np.array([r["c"] for r in often], np.int64)[order]))
 
-    prefixes = docs.mapInArrow(_prefixes(k, percent, frequent), "token long, key long, n int")
-    matrix = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"))
+    prefixes = docs.mapInArrow(tidy(_prefixes(k, percent, frequent)), "token long, key long, n int")
+    matrix = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(tidy(_shared), "token long, key long, n int"))
     reps = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     # groups around central sets: each token votes for the set of most shared tokens among those that have it
     scored = matrix.withColumn("score", F.count("*").over(Window.partitionBy("key"))).select("token", "score", "key", "n")
-    votes = scored.repartition("token").sortWithinPartitions("token", F.desc("score"), F.desc("key")).mapInArrow(_votes(percent), "key long, n int, g long, n_g int, c long")
+    votes = scored.repartition("token").sortWithinPartitions("token", F.desc("score"), F.desc("key")).mapInArrow(tidy(_votes(percent)), "key long, n int, g long, n_g int, c long")
     votes = votes.groupBy("key", "n", "g", "n_g").agg(F.sum("c").alias("c"))
     votes = votes.where(f"key = g or 2 * c >= {_need('n', 'n_g', percent)}")
     chosen = keep(votes.groupBy("key").agg(F.max(F.struct(F.when(F.col("key") == F.col("g"), 0).otherwise(F.col("c")).alias("c"), "g")).alias("best")).select("key", F.col("best.g").alias("g")))
@@ -282,7 +283,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     mates = groups.where("key <> g").select("key", "g")
     keys = mates.select("key").union(mates.select("g")).union(met.select("u")).union(met.select("g")).distinct()
     wanted = reps.join(keys, "key").select(F.col("rep").alias("doc_id"), "key")
-    sets = keep(packed(docs).join(wanted, "doc_id").select("key", "text").mapInArrow(_true(k), "key long, text binary"))
+    sets = keep(packed(docs).join(wanted, "doc_id").select("key", "text").mapInArrow(tidy(_true(k)), "key long, text binary"))
 
     # components of members that are similar to their centres
     near = keep(_links(mates.select("key", F.col("key").alias("label"), F.col("g").alias("chunk")), mates.select(F.col("g").alias("key"), F.col("g").alias("label"), F.col("g").alias("chunk")).distinct(), sets, k, percent))
@@ -317,7 +318,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that link, directly or not, with one of a smaller doc_id.
 
-    Rows without doc_id stay; of rows that share a doc_id all stay or go.
+    Rows without doc_id stay, as do those of null or blank texts; of rows that share a doc_id all stay or go.
+    Columns keep their names, types and order; an empty table gives an empty result.
     """
-    ids = jaccard_groups(docs, k, percent).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(ids.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    gone = jaccard_groups(docs, k, percent).groupBy(F.col("doc_id").alias("gone")).agg(F.max(F.expr("component_id = doc_id")).alias("least")).where("not least").select("gone")
+    plain = docs.toDF(*(c if c == "doc_id" else f"_{i}" for i, c in enumerate(docs.columns)))
+    return plain.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
