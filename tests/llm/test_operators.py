@@ -151,24 +151,98 @@ def test_quality(docs, empty, corpus):
     assert quality_verdicts(empty).count() == 0
 
 
+def test_quality_verdicts_against_exact_quartiles(spark):
+    from tidemark.llm.quality import REACH, SLACK, quality_verdicts
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        w = [rng.choice(["#", "a", "word", "longer", "w" * rng.randrange(1, 30)]) if rng.random() < (i % 40) / 60 else "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(rng.randrange(40, 120))]
+        cut = rng.randrange(1, 9)
+        lines = [" ".join(w[k : k + cut]) for k in range(0, len(w), cut)]
+        rows.append((i if i % 50 else None, "\n".join(lines + lines[: (i % 25) * (i % 3 == 0)]), rng.choice(["en", "de", None]), rng.choice(["s", "s", "t", None])))
+    rows += [(500, None, "en", "s"), (501, "", "en", "s"), (502, "\n ".join(["x y"] * 60), "zz", None)] + rows[7:9]
+    found, groups = [], {}
+    for i, t, lang, source in rows:
+        w = words(t)
+        runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        covered = {k + d for k, run in enumerate(runs) if runs.count(run) > 1 for d in range(3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        dup, symbols, chars = len(lines) - len(set(lines)), sum(c in "#*$%&|<>" for c in t or ""), sum(map(len, w))
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        m = {"symbols": symbols / max(1, chars), "repeats": len(covered) / max(1, len(w)), "dup_lines": dup / max(1, len(lines)), "word_length": chars / max(1, len(w))}
+        found.append(((i, len(w), chars, symbols, dup, len(covered), failed), (lang, source), m))
+        if not failed:
+            groups.setdefault((lang, source), []).append(m)
+    at = lambda values, p: sorted(values)[max(0, -(-int(p * 100) * len(values) // 100) - 1)]
+
+    def inside(m, group):
+        for name, slack in SLACK.items():
+            low, high = (at([x[name] for x in group], p) for p in (0.25, 0.75))
+            if m[name] > high + REACH * (high - low) + slack or name == "word_length" and m[name] < low - REACH * (high - low) - slack:
+                return False
+        return True
+
+    want = [(*base, not base[-1] and inside(m, groups[g])) for base, g, m in found]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, kept int")
+    assert sorted(map(tuple, quality_verdicts(df).collect()), key=str) == sorted(want, key=str)
+    assert 5 < sum(not x[-1] and not x[-2] for x in want) < 300
+
+
 def test_quality_measures():
     from tidemark.llm.quality import measures
 
-    assert measures("é a# b\n\né a# b\n \ta".encode()) == (7, 9, 2, 1, 6)
-    assert measures(b"") == (0, 0, 0, 0, 0)
+    assert measures("é a# b\n\né a# b\n \ta".encode()) == (7, 9, 2, 1, 6, 3)
+    assert measures(b"") == (0, 0, 0, 0, 0, 0)
 
 
 def test_chat(spark):
-    from tidemark.llm.chat import preference_rows
+    from tidemark.llm.chat import preference_parts, preference_turns
 
     turns = [(1, 0, 0, "user", "hi"), (1, 0, 1, "assistant", "good"), (1, 1, 0, "user", "hi"), (1, 1, 1, "assistant", "bad"), (1, 1, 2, "user", None), (2, 0, 0, "user", "alone"), (None, 0, 0, "user", "x")]
     df = spark.createDataFrame(turns, "pair_id long, side int, turn long, role string, text string")
-    got = sorted(tuple(r) for r in preference_rows(df).select("pair_id", "part", "turn", "loss_mask", "rendered").collect())
+    got = sorted(tuple(r) for r in preference_turns(df).select("pair_id", "part", "turn", "loss_mask", "rendered").collect())
     assert got == [
         (1, "chosen", 1, 1, "<|assistant|>\ngood<|end|>\n"), (1, "prompt", 0, 0, "<|user|>\nhi<|end|>\n"), (1, "rejected", 1, 1, "<|assistant|>\nbad<|end|>\n"),
         (1, "rejected", 2, 0, "<|user|>\n<|end|>\n"), (2, "chosen", 0, 0, "<|user|>\nalone<|end|>\n"),
     ]
-    assert preference_rows(df.where("false")).count() == 0
+    parts = {(r["pair_id"], r["part"]): (r["n_turns"], r["loss_mask"], r["rendered"]) for r in preference_parts(df).collect()}
+    assert parts[1, "rejected"] == (2, "10", "<|assistant|>\nbad<|end|>\n<|user|>\n<|end|>\n") and len(parts) == 4
+    assert preference_turns(df.where("false")).count() == preference_parts(df.where("false")).count() == 0
+
+
+def test_chat_pairs_share_their_longest_prefix(spark):
+    from tidemark.llm.chat import contrasted, preference_parts
+
+    rng = random.Random(11)
+    rows = []
+    for c in range(30):
+        roles = ["system"] * rng.randrange(2) + ["user", "assistant"] * rng.randrange(4) + ["user"] * rng.randrange(2)
+        rows += [(c, k, role, rng.choice(["yes", "no", None, "", "long " * 3000])) for k, role in enumerate(roles)]
+    rows += [(31, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(1000)] + [(None, 0, "user", "x"), (40, None, "user", "x"), (2, 0, rows[0][2], rows[0][3]), (2, 0, rows[0][2], rows[0][3])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
+    by = {}
+    for c, turn, role, text in rows:
+        if c is not None and turn is not None:
+            by.setdefault(c, []).append((turn, role, text))
+    last = {c: max(t for t, role, _ in x if role == "assistant") for c, x in by.items() if any(r == "assistant" for _, r, _ in x)}
+    show = lambda x: "".join(sorted(f"<|{r}|>\n{t or ''}<|end|>\n" for r, t in x))
+    want = {}
+    for c, end in last.items():
+        other = c ^ 1
+        bag = lambda x, k: sorted(((r, t) for n, r, t in x if n == k), key=str)
+        chosen = [x for x in by[c] if x[0] <= end]
+        rejected = [x for x in chosen if x[0] < end] + [(end, r, t) for n, r, t in by[other] if n == last[other] and r == "assistant"] if other in last else []
+        parted = min((k for k in range(end + 1) if bag(chosen, k) != bag(rejected, k)), default=end + 1)
+        for part, side, keep in (("prompt", chosen, lambda k: k < parted), ("chosen", chosen, lambda k: k >= parted), ("rejected", rejected, lambda k: k >= parted)):
+            text = "".join(show(bag(side, k)) for k in range(end + 1) if keep(k))
+            if text:
+                want[c, part] = text
+    got = {}
+    for r in preference_parts(contrasted(df)).orderBy("pair_id", "part", "segment").collect():
+        got[r["pair_id"], r["part"]] = got.get((r["pair_id"], r["part"]), "") + r["rendered"]
+    assert got == want and sum(part == "prompt" for _, part in want) > 10
+    assert contrasted(df.where("false")).count() == 0
 
 
 def test_pages(spark):
@@ -184,6 +258,23 @@ def test_pages(spark):
     assert {(r["page_id"], r["n_chars"]) for r in extracted(df).collect()} == {(1, len(main_text(page))), (2, 0), (None, 0)}
 
 
+def test_pages_in_wrappers_and_in_depth(spark):
+    from tidemark.llm.pages import extracted, main_text
+
+    body = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i}, with commas, and more words in it to be long.</p>" for i in range(5))
+    want = "Head\n" + "\n".join(f"Paragraph {i}, with commas, and more words in it to be long." for i in range(5))
+    side = "<div class=sidebar><p>Side, side, side and more, of it, you know, at some length.</p></div>"
+    comments = "<section id=comments>" + "<article class='comment-body'><p>Nice, very nice, indeed, so good, it goes on, and on, and on, yes, yes.</p></article>" * 30 + "</section>"
+    for tag in ("article", "div"):
+        for name in ("content", "with-sidebar", "no-ads", "page has-sidebar", "legal-analysis"):
+            assert main_text(f"<body><nav><a href=x>Home</a></nav><div class='{name}'><{tag}>{body}</{tag}>{side}{comments}</div></body>") == want
+    assert main_text("<article><p>We have <math><mi>x</mi></math> and <object>an object</object>, see.</p></article>") == "We have x and an object, see."
+    deep = "<div>" * 100_000 + "<p>deep, deep text</p>" + "</section>" * 100_000
+    df = spark.createDataFrame([(1, "u", deep), (1, "u", deep), (2, "v", "<p>" + "word, " * 300_000)], "page_id long, url string, html string")
+    assert sorted(r["n_chars"] for r in extracted(df).collect()) == [15, 15, 6 * 300_000 - 1]
+    assert extracted(df.where("false")).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     from tidemark.llm.toxicity import toxicity_scores
 
