@@ -461,3 +461,27 @@ def test_the_latent_space_is_that_of_a_whole_svd(spark):
     want = np.linalg.svd(np.array(rows), compute_uv=False)
     assert np.allclose(values, want[: len(values)], rtol=0.02) and (values**2).sum() >= 0.94 * (want**2).sum() and len(values) < len(want)
     assert np.allclose(basis.T @ basis, np.eye(len(values)), atol=1e-4)
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    """Rows with null ids, texts and extra columns, named like what the stages use inside, pass through every stage."""
+    import corpus_pipeline
+
+    names = "kept_id|my col|a.b|row|key|score|all|gone|spans|cut|hash|draw|_0|n_chars|Ä"
+    schema = ", ".join(f"`{n}` {'int' if n == 'n_chars' else 'string'}" for n in names.split("|")[:7]) + ", doc_id long, text string, " + ", ".join(f"`{n}` {'int' if n == 'n_chars' else 'string'}" for n in names.split("|")[7:])
+    rows = [(*"abcdefg", i, t, *"hijklm", len(t or ""), None) for i, t in corpus]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0), "x") for i in range(60)], "doc_id long, toxic int, text string")
+    benchmark = spark.createDataFrame([(1, corpus[45][1], "x"), (None, "a b", "x"), (2, None, "x")], "item_id long, text string, doc_id string")
+    from tidemark.llm.jaccard import one_of_each
+    from tidemark.llm.leaks import without_leaks
+    from tidemark.llm.substrings import without_repeats
+    from tidemark.llm.toxicity import without_toxic
+
+    for stage in (lambda d: without_toxic(d, labels), one_of_each, without_repeats, lambda d: without_leaks(d, benchmark)):
+        out = stage(docs)
+        assert out.dtypes == docs.dtypes and 0 < out.count() <= len(rows)
+        assert {tuple(r)[:7] for r in out.collect()} == {tuple("abcdefg")}
+        assert any(r["doc_id"] is None for r in out.collect()) or stage is not one_of_each
+        assert stage(docs.where("false")).count() == 0
+    assert corpus_pipeline.tokens(spark, docs, "").count() == len(rows)

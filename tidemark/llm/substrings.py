@@ -7,7 +7,9 @@ in the shard).  Spans matched over at least ``window`` words go.
 
 Candidates come from anchors: of every window the least hash of its half-length n-grams, so equal
 windows have equal anchors and only regions around anchors of several documents are looked at.
-No row stands for a pair of documents: a window knows its first document only.
+Regions of the same words are one, whose least document stands for all: a region in a later document goes
+whole, and only the least one's windows are looked up, so that a passage of a third of all documents
+is one row there.  No row stands for a pair of documents: a window knows its first document only.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import grams, hashed, packed, texts, unpacked
+from tidemark.llm.words import grams, hashed, packed, texts, tidy, unpacked
 
 #: Windows that start in one region at most; neighbours overlap by the rest of a window.
 REGION = 512
@@ -185,26 +187,25 @@ class _Automata(OrderedDict):
 
 
 def _matched(window: int):
-    """Covered spans [from, to) of a document's words, for each of its regions and a shard."""
+    """Covered spans [from, to) of a region's words, for each region and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _Automata()
         for batch in batches:
-            ids, rows, spans = [], [], []
-            for i, row, start, text, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "start", "words", "shard"))):
+            keys, spans = [], []
+            for key, text, shard in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "shard"))):
                 ends = [e for e, m in enumerate(automata.of(shard).statistics(text.encode().split())) if m >= window]
                 found = []
                 for e in ends:
-                    a, b = start + e - window + 1, start + e + 1
+                    a, b = e - window + 1, e + 1
                     if found and a <= found[-1]:
                         found[-1] = b
                     else:
                         found += [a, b]
                 if found:
-                    ids.append(i)
-                    rows.append(row)
+                    keys.append(key)
                     spans.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "row", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.list_(pa.int64()))], ["key", "spans"])
 
     return run
 
@@ -215,15 +216,24 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     ``docs`` has doc_id (not null), row (a hash of the text) and text.
     """
     key = ["doc_id", "row"]
-    anchors = docs.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, row long")
-    anchors = keep(anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_several, "anchor long, doc_id long, row long"))
+    anchors = docs.mapInArrow(tidy(_anchor_rows(window)), "anchor long, doc_id long, row long")
+    anchors = keep(anchors.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(tidy(_several), "anchor long, doc_id long, row long"))
     shared = anchors.groupBy(*key).agg(F.collect_set("anchor").alias("anchors"))  # no more than the document has words
-    regions = keep(packed(docs).join(shared, key).mapInArrow(_regions(window), "doc_id long, row long, start long, words string"))
-    windows = regions.mapInArrow(_windows(window), "hash long, doc_id long, start long")
-    routes = windows.repartition("hash").sortWithinPartitions("hash", "doc_id", "start").mapInArrow(_routes, "doc_id long, start long, first_id long, first_start long").distinct()
-    shards = regions.select(F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"), F.col("words").alias("shard"))
-    pairs = routes.join(shards, ["first_id", "first_start"]).join(regions, ["doc_id", "start"])
-    return pairs.select(*key, "start", "words", "shard").mapInArrow(_matched(window), "doc_id long, row long, spans array<long>")
+    regions = keep(packed(docs).join(shared, key).mapInArrow(tidy(_regions(window)), "doc_id long, row long, start long, words string").withColumn("key", F.md5("words")))
+    heads = regions.groupBy("key").agg(F.min("doc_id").alias("head"))
+    placed = regions.join(heads, "key")
+    one = F.min(F.struct("row", "start")).alias("one")  # a document may have a region twice
+    chosen = placed.where("doc_id = head").groupBy("key", "doc_id").agg(one).select("key", "doc_id", "one.row", "one.start")
+    classes = keep(regions.join(chosen, ["key", "doc_id", "row", "start"], "left_semi").select("key", "doc_id", "start", "words"))
+    windows = classes.mapInArrow(tidy(_windows(window)), "hash long, doc_id long, start long")
+    routes = windows.repartition("hash").sortWithinPartitions("hash", "doc_id", "start").mapInArrow(tidy(_routes), "doc_id long, start long, first_id long, first_start long").distinct()
+    shards = classes.select(F.col("doc_id").alias("first_id"), F.col("start").alias("first_start"), F.col("words").alias("shard"))
+    pairs = routes.join(shards, ["first_id", "first_start"]).join(classes, ["doc_id", "start"])
+    matched = pairs.select("key", "words", "shard").mapInArrow(tidy(_matched(window)), "key string, spans array<long>")
+    of_heads = placed.where("doc_id = head").select("key", *key, "start").join(matched, "key").select(*key, F.expr("transform(spans, x -> x + start)").alias("spans"))
+    size = F.size(F.split("words", " "))
+    whole = placed.where("doc_id > head").select(*key, F.array(F.col("start"), F.col("start") + size).cast("array<long>").alias("spans"))
+    return of_heads.unionByName(whole)
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,21 +305,27 @@ def removed_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     Each word goes that is covered by a ``window`` of words which also starts in a document of a
     smaller doc_id, judged on the input.  A null or empty text has no words.  A row without doc_id
     neither loses words nor makes others lose them.  Repeated rows stay and lose the same words.
-    An empty table gives an empty result; other columns are ignored.
+    A very long text is read whole.  An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
-    return _with_spans(rows, window).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(rows, window).select("doc_id", "text", "spans").mapInArrow(tidy(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the texts that :func:`removed_substrings` leaves; a text that loses nothing stays as it is.
 
-    n_chars, if there is such a column, is that of the new text.
+    n_chars, if there is such a column, is that of the new text.  Rows without doc_id stay as they are, repeated
+    rows lose the same; columns keep their names, types and order; an empty table gives an empty result.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    slim = docs.select(F.struct(*rest).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
+    plain = docs.toDF(*("text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)))
+    rest = [c for c in plain.columns if c != "text"]
+    slim = plain.select(F.struct(*rest).alias("all"), F.col(f"_{docs.columns.index('doc_id')}").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     joined = _with_spans(slim, window).select("all", "text", "spans")
     schema = T.StructType([joined.schema["all"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
-    cut = joined.mapInArrow(_cut, schema)
-    n_chars = F.when(F.col("cut"), F.length("text")).otherwise(F.col("all.n_chars")) if "n_chars" in rest else None
-    return cut.select(*(F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("all")[c].alias(c) for c in docs.columns))
+    cut = joined.mapInArrow(tidy(_cut), schema)
+
+    def column(i: int, c: str):
+        was = F.col("all")[f"_{i}"]
+        return F.col("text") if c == "text" else F.when(F.col("cut"), F.length("text").cast(docs.schema[c].dataType)).otherwise(was) if c == "n_chars" else was
+
+    return cut.select(*(column(i, c).alias(c) for i, c in enumerate(docs.columns)))
