@@ -12,16 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import tidy
+
 #: Distinct words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONG = 300_000, 64
+REMEMBERED, LONG = 200_000, 64
 #: The pattern of the byte-level pre-tokenizer, in its public form.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -33,25 +37,47 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _checked(spec: dict) -> dict:
+    """``spec``, if this automaton encodes as it says; else an error that names what it can't."""
+    plain = {"dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k, v in plain.items() if (model.get(k) or v) != v]
+    odd += [k for k, v in {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() if split.get(k, v if k == "use_regex" else None) != v]
+    odd += ["normalizer"] * bool(spec.get("normalizer")) + [f"added token {x['content']!r}" for x in spec["added_tokens"] if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or not x.get("special")]
+    if model.get("type", "BPE") != "BPE" or odd:
+        raise ValueError(f"not a plain byte-level BPE vocabulary: {', '.join(odd) or model['type']}")
+    return spec
+
+
 class TokenAutomaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            spec = _checked(json.load(file))
         letters = _byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.labels = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.ids = vocab
+        self._ready()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self._compile([(vocab[raw(a)], vocab[raw(b)], vocab[raw(a) + raw(b)]) for a, b in merges], [vocab[bytes([b])] for b in range(256)])
-        self.longest = max(map(len, vocab))
-        self.prefixes = {t[:i] for t in vocab for i in range(1, len(t) + 1)}
+
+    def _ready(self) -> None:
+        """What follows from the vocabulary."""
+        self.labels = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
         self._words: dict[str, tuple[int, ...]] = {}
         special = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self._special = regex.compile(f"({special})") if special else None
         self._find = regex.compile(PATTERN).findall
 
+    def __getstate__(self):
+        return zstandard.compress(pickle.dumps((self.special, self.ids, self.lacks, self.enters)), 3)
+
+    def __setstate__(self, state):
+        self.special, self.ids, self.lacks, self.enters = pickle.loads(zstandard.decompress(state))
+        self._ready()
+
     def _compile(self, merges, alphabet) -> None:
         """Apply the gadget of every merge; a state is a row of bits, set for the arcs it lacks."""
         width = max(self.labels) // 8 + 1
@@ -81,11 +107,11 @@ class TokenAutomaton:
         """Ids of the accepted spelling of one pre-split word."""
         n, ids, enters, lacks = len(word), self.ids, self.enters, self.lacks
         path: list[tuple[int, int, int]] = []  # (token, end, state before)
-        at, state, limit = 0, 0, n
+        at, state = 0, 0
         dead: set[tuple[int, int]] = set()
         while at < n:
             end, reach = 0, at + 1
-            while reach <= limit and word[at:reach] in self.prefixes:
+            while reach <= n and word[at:reach] in self.prefixes:
                 reach += 1
             for stop in range(reach - 1, at, -1):
                 token = ids.get(word[at:stop])
@@ -94,11 +120,10 @@ class TokenAutomaton:
                     break
             if end:
                 path.append((token, at, state))
-                at, state, limit = end, enters[token], n
+                at, state = end, enters[token]
             else:
                 dead.add((at, state))
                 token, at, state = path.pop()
-                limit = n
         return tuple(t for t, _, _ in path)
 
     def encode(self, text: str) -> list[int]:
@@ -128,15 +153,19 @@ _automata: dict[str, TokenAutomaton] = {}
 
 
 def automaton(path: str) -> TokenAutomaton:
-    """One automaton a worker and file."""
+    """The automaton of a file, compiled once on the driver; workers get it broadcast (its size is the vocabulary's)."""
     if path not in _automata:
         _automata[path] = TokenAutomaton(path)
     return _automata[path]
 
 
-def _encoded(path: str):
+def _shared(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast(automaton(path))
+
+
+def _encoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = automaton(path)
+        model = shared.value
         for batch in batches:
             lengths, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
@@ -146,40 +175,42 @@ def _encoded(path: str):
                 text_sha.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+    return tidy(run)
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs``.
 
     A null or empty text has no tokens.  Repeated rows and rows without doc_id stay; an empty table
-    gives an empty result; other columns are ignored.  The vocabulary file's path must exist on
-    every executor.
+    gives an empty result; other columns are ignored.  A text of any length is encoded whole, at once.  Only
+    the driver reads the vocabulary file.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(_shared(docs, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _id_rows(path: str):
+def _id_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = automaton(path)
+        model = shared.value
         for batch in batches:
             ids = [model.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of each row; a null text has no ids."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_id_rows(path), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_id_rows(_shared(docs, path)), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
     """doc_id and text of each row of (doc_id, ids); null ids spell the empty text."""
 
+    shared = _shared(ids, path)
+
     def run(batches):
-        model = automaton(path)
+        model = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")
