@@ -91,11 +91,11 @@ def _regions(window: int):
 
 
 def _windows(window: int):
-    """The hash of each window of a region."""
+    """The hash of each different window of a region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [grams(hashed(x.split()), window).view(np.int64) for x in texts(batch.column("words"))]
+            hashes = [np.unique(grams(hashed(x.split()), window).view(np.int64)) for x in texts(batch.column("words"))]
             n = [len(x) for x in hashes]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc_id", "start"))],
