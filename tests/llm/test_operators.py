@@ -305,7 +305,7 @@ def test_toxicity_counts_all_grams_of_a_large_input(spark):
     model = toxicity.learn(docs, labels)
     split = labels.where(~toxicity.held_out()).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
     used = {r["doc_id"] for r in split.where("not curve").collect()}
-    count = lambda y: np.unique(np.concatenate([np.unique(toxicity._packed(t)) for i, t, c in rows if i in used and c in y]), return_counts=True)
+    count = lambda y: np.unique(np.concatenate([np.repeat(g, np.minimum(n, toxicity.PER_TEXT)) for i, t, c in rows if i in used and c in y for g, n in [np.unique(toxicity._packed(t), return_counts=True)]]), return_counts=True)
     toxic, ordinary, types = count({1}), count({0}), count({0, 1})[0]
     assert len(types) > 2_000_000
     d = toxicity.DISCOUNT

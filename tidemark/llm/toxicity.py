@@ -3,8 +3,8 @@
 Two models of the next character after ORDER - 1 others, one of toxic and one of ordinary texts, back off to
 one interpolated Kneser-Ney model whose continuation counts both classes share; so what is rare is
 smoothed alike and only what a class really repeats speaks for it.  A text's log-likelihood ratio,
-normalised by length over the whole text and over its most toxic spans, goes through a logistic
-curve fitted on labelled texts that the counts have not seen.
+normalised by length over the whole text, over its most toxic words and over what its words have beyond
+some ratio, goes through a logistic curve fitted on labelled texts that the counts have not seen.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.store import keep
+from tidemark.llm.words import tidy
 
 #: Labelled rows of each class that are learned from at most (a seeded sample beyond it), and those that fit the curve.
 LABELLED, CURVE = 1_000_000, 40_000
 #: Characters of the longest gram.
 ORDER = 6
-#: Discount of every order; it leaves what one document alone has to the backoff.
-DISCOUNT = 1.5
-#: Characters of the spans whose ratios are compared.
-SPANS = (8, 24, 96)
+#: Discount of every order, and times that one document counts for a gram: what few documents have is left to the backoff.
+DISCOUNT, PER_TEXT = 6.0, 8
+#: Numbers of most toxic words whose ratios are averaged, and the ratios whose excess is summed over all words.
+TOP, BEYOND = (1, 2, 4, 8), (2.0, 3.0)
 #: Bits of a table's places: all characters or pairs, else these at least, and so many that SPARE places come to a gram.
 _BITS, SPARE = {1: 8, 2: 16, 3: 20, 4: 20, 5: 21, 6: 21}, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,9 +59,9 @@ def _texts(column: pa.Array) -> list[str]:
 class ToxicityModel:
     """Tables of discounted probabilities and backoff weights; their sizes grow with what the counts hold.
 
-    ``levels`` has for the two classes (ORDER characters) and each lower order the grams counted twice or
-    more, their counts, and the contexts that have such a gram with the total and the discounts of all of
-    their grams.  A gram counted once has nothing left after the discount, and a context of such grams alone
+    ``levels`` has for the two classes (ORDER characters) and each lower order the grams counted more often
+    than the discount, their counts, and the contexts that have such a gram with the total and the discounts of
+    all of their grams.  Any other gram has nothing left after the discount, and a context of such grams alone
     backs off with weight 1 as an unseen one does, so neither needs a place.
     """
 
@@ -73,15 +75,15 @@ class ToxicityModel:
         self.seen, self.rest = {}, {}
         for name, level in levels.items():
             self.seen[name], self.rest[name] = self._level(*level, name if isinstance(name, int) else ORDER)
-        self.weights = np.zeros(len(SPANS) + 3)
+        self.weights = np.zeros(len(TOP) + len(BEYOND) + 4)
 
     def __getstate__(self):
-        """Tables travel at half precision and compressed: they are mostly empty."""
+        """Tables travel, and stay in workers, at half precision; they travel compressed, being mostly empty."""
         squeeze = lambda tables: {k: zstandard.compress(v.astype(np.float16).tobytes(), 3) for k, v in tables.items()}
         return squeeze(self.seen), squeeze(self.rest), self.weights, self.bits
 
     def __setstate__(self, state):
-        expand = lambda tables: {k: np.frombuffer(zstandard.decompress(v), np.float16).astype(np.float32) for k, v in tables.items()}
+        expand = lambda tables: {k: np.frombuffer(zstandard.decompress(v), np.float16) for k, v in tables.items()}
         self.seen, self.rest, self.weights, self.bits = expand(state[0]), expand(state[1]), state[2], state[3]
 
     def _level(self, grams, counts, contexts, totals, discounts, order):
@@ -99,23 +101,24 @@ class ToxicityModel:
         g = _packed(text)
         slots = {k: _slot(g, k, self.bits[k]) for k in range(1, ORDER + 1)}
         context = {k: _slot(g >> np.uint64(8), k, self.bits[k]) for k in range(1, ORDER)}
-        p = self.seen[1][slots[1]] + self.rest[1][0] / 256
+        of = lambda table, at: table[at].astype(np.float32)
+        p = of(self.seen[1], slots[1]) + float(self.rest[1][0]) / 256
         for k in range(2, ORDER):
-            p = self.seen[k][slots[k]] + self.rest[k][context[k - 1]] * p
-        toxic = self.seen["toxic"][slots[ORDER]] + self.rest["toxic"][context[ORDER - 1]] * p
-        ordinary = self.seen["ordinary"][slots[ORDER]] + self.rest["ordinary"][context[ORDER - 1]] * p
-        return np.log(toxic / ordinary)
+            p = of(self.seen[k], slots[k]) + of(self.rest[k], context[k - 1]) * p
+        toxic = of(self.seen["toxic"], slots[ORDER]) + of(self.rest["toxic"], context[ORDER - 1]) * p
+        ordinary = of(self.seen["ordinary"], slots[ORDER]) + of(self.rest["ordinary"], context[ORDER - 1]) * p
+        return np.log(np.maximum(toxic, 1e-12) / np.maximum(ordinary, 1e-12))
 
     def features(self, text: str) -> list[float]:
         n = len(text)
         if not n:
-            return [0.0] * (len(SPANS) + 1) + [0.0]
+            return [0.0] * (len(self.weights) - 1)
         total = np.concatenate([[0.0], np.cumsum(self.ratios(text), dtype=np.float64)])
-        out = [total[-1] / n]
-        for span in SPANS:
-            w = min(span, n)
-            out.append(float((total[w:] - total[:-w]).max()) / span)
-        return [*out, float(np.log1p(n))]
+        space = _packed(text)[1:] & np.uint64(255) == 32
+        start = np.flatnonzero(np.r_[True, space])  # a word has the space before it
+        best = np.sort(np.maximum.reduceat(total[1:], start) - total[start])[::-1]  # over the beginnings of each word
+        out = [total[-1] / n, *(np.maximum(best[:k], 0).sum() / k for k in TOP), *(10 * np.maximum(best - x, 0).sum() / len(best) for x in BEYOND)]
+        return [float(x) for x in (*out, np.log1p((best > BEYOND[0]).sum()), np.log1p(len(best)))]
 
     def score(self, text: str) -> float:
         x = np.r_[self.features(text), 1.0] @ self.weights
@@ -139,25 +142,25 @@ class ToxicityModel:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of a task's texts with the counts of toxic and ordinary texts that have them."""
-    held: tuple[list, list] = ([], [])
+    """Grams of a task's texts with their counts in toxic and ordinary texts."""
+    held: tuple[list, list] = ([], [])  # (grams, counts) of texts
     sums = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
     size = 0
 
     def merged(c):
         if not held[c]:
             return sums[c]
-        g, n = np.unique(np.concatenate(held[c]), return_counts=True)
+        kinds, where = np.unique(np.concatenate([sums[c][0], *(g for g, _ in held[c])]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([sums[c][1], *(n for _, n in held[c])])).astype(np.int64)
         held[c].clear()
-        both = np.concatenate([sums[c][0], g])
-        kinds, where = np.unique(both, return_inverse=True)
-        return kinds, np.bincount(where, np.concatenate([sums[c][1], n])).astype(np.int64)
+        return kinds, counts
 
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), _texts(batch.column("text"))):
-            held[1 - toxic].append(np.unique(_packed(text)))
-            size += len(text)
-            if size > 4_000_000:
+            g, n = np.unique(_packed(text), return_counts=True)
+            held[1 - toxic].append((g, np.minimum(n, PER_TEXT)))
+            size += len(g)
+            if size > 1_000_000:
                 sums, size = [merged(0), merged(1)], 0
     sums = [merged(0), merged(1)]
     for c in (0, 1):
@@ -172,10 +175,10 @@ def _levels(grams: DataFrame) -> dict:
     out = {}
 
     def add(name, table):
-        many = table.where("c >= 2").toArrow()
+        many = table.where(F.col("c") > DISCOUNT).toArrow()
         discount = F.least(F.col("c").cast("double"), F.lit(DISCOUNT))
         sums = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").cast("double").alias("total"), F.sum(discount).alias("taken"), F.max("c").alias("most"))
-        of = sums.where("most >= 2").select("context", "total", "taken").toArrow()
+        of = sums.where(F.col("most") > DISCOUNT).select("context", "total", "taken").toArrow()
         codes = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
         out[name] = codes(many["gram"]), many["c"].to_numpy().astype(float), codes(of["context"]), of["total"].to_numpy().astype(float), of["taken"].to_numpy().astype(float)
 
@@ -201,9 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     marks = marks.where(draw < F.when(F.col("toxic") == 1, min(1.0, LABELLED / max(1, count.get(1, 0)))).otherwise(min(1.0, LABELLED / max(1, count.get(0, 0)))))
     marks = marks.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most 2 * LABELLED ids
-    grams = keep(told.where("not curve").select("toxic", "text").mapInArrow(_counted, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    grams = keep(told.where("not curve").select("toxic", "text").mapInArrow(tidy(_counted), "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     model = ToxicityModel(_levels(grams))
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)  # without the curve yet
 
     def curve(batches):
         for batch in batches:
@@ -211,9 +214,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
     rate = min(1.0, CURVE / max(1, sum(count.values()) / 4))
-    points = told.where("curve").where(draw < rate).select("toxic", "text").mapInArrow(curve, "toxic int, x array<double>").toArrow()
+    points = told.where("curve").where(draw < rate).select("toxic", "text").mapInArrow(tidy(curve), "toxic int, x array<double>").toArrow()
     if points.num_rows:
         model.fit(np.array(points["x"].to_pylist()), points["toxic"].to_numpy().astype(float))
+    shared.unpersist()
     return model
 
 
@@ -227,17 +231,15 @@ def _scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             found = [shared.value.score(x) for x in _texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.3) of each row of ``docs``.
 
     A null or empty text gets the score of a text without evidence.  Without labels every score is
-    one half.  A null doc_id counts as the empty text for held_out.  Repeated rows stay; an empty
-    table gives an empty result; other columns are ignored.
+    one half.  A null doc_id counts as the empty text for held_out.  A very long text is scored whole.  Repeated
+    rows stay and score alike; an empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = _scores(slim, learn(docs, labels))
@@ -245,6 +247,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score 0.3 or more."""
+    """``docs`` without the rows that score 0.3 or more.
+
+    Null and empty texts score what a text without evidence scores.  Repeated rows stay or go alike; columns keep
+    their names, types and order; an empty table gives an empty result.
+    """
     plain = docs.toDF(*(f"_{i}" if c != "text" else c for i, c in enumerate(docs.columns)))
     return _scores(plain, learn(docs, labels)).where("score < 0.3").drop("score").toDF(*docs.columns)
