@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import tidy
+from tidemark.llm.words import release, tidy
 
 #: Distinct words whose ids a worker remembers, and the longest such word.
 REMEMBERED, LONG = 200_000, 64
@@ -71,12 +71,16 @@ class TokenAutomaton:
         self._special = regex.compile(f"({special})") if special else None
         self._find = regex.compile(PATTERN).findall
 
-    def __getstate__(self):
-        return zstandard.compress(pickle.dumps((self.special, self.ids, self.lacks, self.enters)), 3)
+    def packed(self) -> tuple[bytes, bytes]:
+        return pickle.dumps((self.special, self.ids, self.enters)), zstandard.compress(self.lacks, 3)
 
-    def __setstate__(self, state):
-        self.special, self.ids, self.lacks, self.enters = pickle.loads(zstandard.decompress(state))
-        self._ready()
+    @classmethod
+    def unpacked(cls, small: bytes, lacks: bytes) -> TokenAutomaton:
+        out = cls.__new__(cls)
+        out.special, out.ids, out.enters = pickle.loads(small)
+        out.lacks = zstandard.decompress(lacks)
+        out._ready()
+        return out
 
     def _compile(self, merges, alphabet) -> None:
         """Apply the gadget of every merge; a state is a row of bits, set for the arcs it lacks."""
@@ -100,8 +104,9 @@ class TokenAutomaton:
             enters[uv] = after
             shared[after] = shared.get(after, 0) + 1
             lacks[:n, uv >> 3] |= (lacks[:n, u >> 3] >> (u & 7) & 1) << (uv & 7)  # what can't read u can't read uv
-        rows = {state: lacks[state].tobytes() for state in {0, *enters.values()}}
-        self.lacks, self.enters = rows, enters
+        used = sorted({0, *enters.values()})
+        place = {state: i * width for i, state in enumerate(used)}  # a state's first byte names it
+        self.lacks, self.enters = lacks[used].tobytes(), {label: place[state] for label, state in enters.items()}
 
     def spell(self, word: bytes) -> tuple[int, ...]:
         """Ids of the accepted spelling of one pre-split word."""
@@ -115,7 +120,7 @@ class TokenAutomaton:
                 reach += 1
             for stop in range(reach - 1, at, -1):
                 token = ids.get(word[at:stop])
-                if token is not None and token in enters and not lacks[state][token >> 3] >> (token & 7) & 1 and (stop, enters[token]) not in dead:
+                if token is not None and token in enters and not lacks[state + (token >> 3)] >> (token & 7) & 1 and (stop, enters[token]) not in dead:
                     end = stop
                     break
             if end:
@@ -149,18 +154,25 @@ class TokenAutomaton:
         return b"".join([labels[i] for i in ids]).decode("utf-8", "replace")
 
 
-_automata: dict[str, TokenAutomaton] = {}
+class _Packed:
+    """What is broadcast: the driver keeps it packed, a worker unpickles an automaton."""
+
+    def __init__(self, path: str):
+        self.parts = TokenAutomaton(path).packed()
+
+    def __reduce__(self):
+        return TokenAutomaton.unpacked, self.parts
 
 
-def automaton(path: str) -> TokenAutomaton:
-    """The automaton of a file, compiled once on the driver; workers get it broadcast (its size is the vocabulary's)."""
-    if path not in _automata:
-        _automata[path] = TokenAutomaton(path)
-    return _automata[path]
+_compiled: dict[str, _Packed] = {}
 
 
 def _shared(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(automaton(path))
+    """The automaton of a file, compiled once on the driver; its size is the vocabulary's."""
+    if path not in _compiled:
+        _compiled[path] = _Packed(path)
+        release()
+    return df.sparkSession.sparkContext.broadcast(_compiled[path])
 
 
 def _encoded(shared):

@@ -253,10 +253,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = keep(docs.mapInArrow(tidy(_scan(k)), "doc_id long, n long, key long, seen long"))
     of_docs = scanned.where("seen is null").select("doc_id", "n", "key")
-    often = scanned.where("seen is not null").groupBy("key").agg(F.sum("seen").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
-    common = np.array([r["key"] for r in often], np.int64)
+    often = scanned.where("seen is not null").groupBy("key").agg(F.sum("seen").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
+    common = often["key"].to_numpy().astype(np.int64)
     order = np.argsort(common)
-    frequent = spark.sparkContext.broadcast((common[order], np.array([r["c"] for r in often], np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((common[order], often["c"].to_numpy().astype(np.int64)[order]))
 
     prefixes = docs.mapInArrow(tidy(_prefixes(k, percent, frequent)), "token long, key long, n int")
     matrix = keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(tidy(_shared), "token long, key long, n int"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import tidy
+from tidemark.llm.words import release, tidy
 
 #: Labelled rows of each class that are learned from at most (a seeded sample beyond it), and those that fit the curve.
 LABELLED, CURVE = 1_000_000, 40_000
@@ -78,8 +78,8 @@ class ToxicityModel:
         self.weights = np.zeros(len(TOP) + len(BEYOND) + 4)
 
     def __getstate__(self):
-        """Tables travel, and stay in workers, at half precision; they travel compressed, being mostly empty."""
-        squeeze = lambda tables: {k: zstandard.compress(v.astype(np.float16).tobytes(), 3) for k, v in tables.items()}
+        """Tables are at half precision and travel compressed, being mostly empty."""
+        squeeze = lambda tables: {k: zstandard.compress(v.tobytes(), 3) for k, v in tables.items()}
         return squeeze(self.seen), squeeze(self.rest), self.weights, self.bits
 
     def __setstate__(self, state):
@@ -90,11 +90,12 @@ class ToxicityModel:
         place = lambda x: _slot(x, order - 1, self.bits[order - 1]) if order > 1 else np.zeros(len(x), np.int64)
         size = 1 << self.bits[order - 1] if order > 1 else 1
         total = np.bincount(place(contexts), totals, size)
-        taken = np.bincount(place(contexts), discounts, size)
-        safe = np.maximum(total, 1)
-        seen = np.zeros(1 << self.bits[order], np.float32)
-        np.maximum.at(seen, _slot(grams, order, self.bits[order]), ((counts - DISCOUNT) / safe[place(grams >> np.uint64(8))]).astype(np.float32))
-        return seen, np.where(total > 0, taken / safe, 1).astype(np.float32)
+        taken = np.bincount(place(contexts), discounts, size).astype(float)
+        np.divide(taken, total, out=taken, where=total > 0)
+        taken[total <= 0] = 1
+        seen = np.zeros(1 << self.bits[order], np.float16)
+        np.maximum.at(seen, _slot(grams, order, self.bits[order]), ((counts - DISCOUNT) / np.maximum(total[place(grams >> np.uint64(8))], 1)).astype(np.float16))
+        return seen, taken.astype(np.float16)
 
     def ratios(self, text: str) -> np.ndarray:
         """log P(character | toxic) - log P(character | ordinary) for each character."""
@@ -206,6 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most 2 * LABELLED ids
     grams = keep(told.where("not curve").select("toxic", "text").mapInArrow(tidy(_counted), "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     model = ToxicityModel(_levels(grams))
+    release()
     shared = spark.sparkContext.broadcast(model)  # without the curve yet
 
     def curve(batches):
@@ -224,6 +226,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 def _scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with a column score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    release()
     at = docs.columns.index("text")
 
     def run(batches):

@@ -37,12 +37,13 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return tidied
 
 
-def _release() -> None:
+def release() -> None:
+    """Give memory that is no longer used back to the system."""
     _hashes.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
