@@ -133,6 +133,10 @@ def test_sharding(docs, empty, corpus):
     by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)}
     assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert {(r["doc_id"], r["text_crc32"], r["size"]) for r in rows} == {(i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in corpus}
+    of = {i: ["s", "s", "s", "t", None][k % 5] for k, (i, _) in enumerate(corpus)}
+    for source in ("s", "t", None):
+        shares = [sum(of[r["doc_id"]] == source for r in rows if r["shard"] == s and r["doc_id"] != 8) for s in range(8)]
+        assert max(shares) - min(shares) <= 3  # each shard has the whole table's mixture, but for rounding
     again = proportional_shards(docs.repartition(3), 8).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert proportional_shards(empty).count() == 0
@@ -485,3 +489,57 @@ def test_stages_keep_columns_of_any_name(spark, corpus):
         assert any(r["doc_id"] is None for r in out.collect()) or stage is not one_of_each
         assert stage(docs.where("false")).count() == 0
     assert corpus_pipeline.tokens(spark, docs, "").count() == len(rows)
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path, docs, corpus):
+    """Each stage on what its predecessor kept; labels are learned, so the first one is held to planted words alone."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+    from tidemark.llm.queries import vocabulary
+
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    bad = [(1000 + i, " ".join(w if k % 9 else "grumbzot" for k, w in enumerate(text(60).split()))) for i in range(120)]
+    fine = [(2000 + i, text(60)) for i in range(240)]
+    item = " ".join(f"q{i}" for i in range(40))
+    leaked = [(3000, f"{text(30)} {item} {text(30)}")]
+    rows = [(i, t, "x", "en", "s", 7) for i, t in bad + fine + leaked]
+    whole = docs.union(spark.createDataFrame(rows, docs.schema)).withColumn("n_chars", F.length("text").cast("long"))
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in fine], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, now = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        now = spark.read.parquet(f"{tmp_path}/{i}")
+        kept.append(now.collect())
+    clean, single, cut, safe, tokens = kept
+    ids = {r["doc_id"] for r in clean}
+    assert not ids & {i for i, _ in bad} and ids >= {i for i, _ in fine + leaked}
+
+    label = {r["doc_id"]: r["doc_id"] for r in clean if r["doc_id"] is not None}
+    top = lambda i: i if label[i] == i else top(label[i])
+    sets = sorted({(r["doc_id"], r["text"]) for r in clean if r["doc_id"] is not None}, key=str)
+    sets = [(i, shingle_set(t)) for i, t in sets]
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                label[y] = x
+    assert {r["doc_id"] for r in single} == {top(i) for i in label} | {None}
+
+    first = {}
+    for r in single:
+        w = words(r["text"])
+        for k in range(len(w) - 49) if r["doc_id"] is not None else ():
+            first[tuple(w[k : k + 50])] = min(r["doc_id"], first.get(tuple(w[k : k + 50]), r["doc_id"]))
+
+    def left(i, t):
+        w = words(t)
+        gone = {k + d for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for d in range(50)}
+        return " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
+
+    assert sorted(((r["doc_id"], r["text"]) for r in cut), key=str) == sorted(((r["doc_id"], left(r["doc_id"], r["text"])) for r in single), key=str)
+    assert {r["doc_id"] for r in safe} == {r["doc_id"] for r in cut} - {3000}
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in tokens), key=str) == sorted(((r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in safe), key=str)
