@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -543,3 +544,42 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path, docs, corpus):
     assert {r["doc_id"] for r in safe} == {r["doc_id"] for r in cut} - {3000}
     library = tokenizers.Tokenizer.from_file(vocabulary())
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in tokens), key=str) == sorted(((r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in safe), key=str)
+
+
+def test_leaks_of_a_very_long_item_are_compared_a_few_times(monkeypatch):
+    from tidemark.llm import leaks
+
+    words = [(f"word{i % 977}" if i % 2 else f"x{i % 13}").encode() for i in range(6000)]
+    terms = {w: i for i, w in enumerate(sorted(set(words)), 1)}
+    matcher = leaks.Matcher([(1, leaks._ids(words, terms))], np.r_[0, np.ones(len(terms))].astype(np.float32), np.eye(len(terms) + 1, dtype=np.float32))
+    calls, plain = [], leaks.common_subsequence
+    monkeypatch.setattr(leaks, "common_subsequence", lambda a, b: calls.append(len(b)) or plain(a, b))
+    changed = [b"x1" if i % 50 == 0 else w for i, w in enumerate(words)]
+    (found,) = leaks.leaks([b" ".join(changed)], terms, [matcher])
+    assert found[:2] == (0, 1) and found[3] == plain(leaks._ids(words, terms).tolist(), leaks._ids(changed, terms).tolist()) / 6000 < 1
+    assert len(calls) < 20
+
+
+def test_leaks_give_the_best_of_all_places():
+    """Each item's best share over all of its places in a text, compared one by one."""
+    from tidemark.llm import leaks
+
+    r = random.Random(5)
+    for _ in range(10):
+        vocabulary = [f"w{i}".encode() for i in range(r.choice([20, 200]))]
+        items = [[r.choice(vocabulary) for _ in range(r.choice([3, 12, 40, 120, 300]))] for _ in range(6)]
+        terms = {w: i for i, w in enumerate(sorted({w for x in items for w in x}), 1)}
+        matcher = leaks.Matcher([(i, leaks._ids(x, terms)) for i, x in enumerate(items)], np.r_[0, np.ones(len(terms))].astype(np.float32), np.eye(len(terms) + 1, dtype=np.float32))
+        text = []
+        for _ in range(12):
+            text += [r.choice(vocabulary) if r.random() < r.choice([0, 0.1, 0.4]) else w for w in r.choice(items)] + [b"zz"] * r.choice([0, 5, 80])
+        ids = leaks._ids(text, terms)
+        halves = len(ids) // leaks.HALF + 2
+        flat = np.zeros(halves * leaks.HALF, np.int32)
+        flat[: len(ids)] = ids
+        places = {*matcher._near(flat.reshape(-1, leaks.HALF)), *matcher.runs.found(flat)}
+        want: dict = {}
+        for p, k in places:
+            if told := matcher._verified(ids, k, p):
+                want[k] = max(want.get(k, 0), told[0])
+        assert {x[1]: x[3] for x in leaks.leaks([b" ".join(text)], terms, [matcher])} == want and want

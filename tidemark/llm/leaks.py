@@ -266,10 +266,15 @@ class Matcher:
         latent = self._sums(self.weighted, part).sum(0)
         return float(np.clip((self.vectors[self.owner == item] @ latent).max() / max(float(np.sqrt((self.idf[part] ** 2).sum())), 1e-6), 0, 1))
 
+    def _around(self, ids: np.ndarray, item: int, passage: int, last: int) -> list[int]:
+        """The words from ``passage`` to ``last`` with as many around as the item has."""
+        n = len(self.items[item])
+        return ids[max(0, passage * HALF - n) : last * HALF + PASSAGE + n].tolist()
+
     def _verified(self, ids: np.ndarray, item: int, passage: int) -> tuple[float, bool] | None:
         """Share of the item's words found in order around a passage and whether its answer is there; None if they prove nothing."""
         own, counts = self.items[item], self.counts[item]
-        part = ids[max(0, passage * HALF - len(own)) : passage * HALF + PASSAGE + len(own)].tolist()
+        part = self._around(ids, item, passage, passage)
         if sum(map(counts.__getitem__, counts.keys() & set(part))) < LIKELY * len(own):
             return None  # no longer subsequence either
         share = common_subsequence(own.tolist(), part) / len(own)
@@ -277,18 +282,42 @@ class Matcher:
         told = any(part[i : i + len(answer)] == answer for i, w in enumerate(part) if w == answer[0])
         return (share, told) if share >= PROVED or share >= LIKELY and told else None
 
+    def _most(self, ids: np.ndarray, item: int, passages: list[int], best: tuple) -> tuple:
+        """(share, answer found, passage) of the first of ``passages`` that proves most; ``best`` if none proves more.
+
+        No window has a longer subsequence than one that it lies in, so passages close together are asked at once first:
+        a text that has much of a long item is compared a few times, not at each of its places.
+        """
+        if not passages or best[0] >= 1:
+            return best
+        if len(passages) == 1:
+            found = self._verified(ids, item, passages[0])
+            return (*found, passages[0]) if found and found[0] > best[0] else best
+        own = self.items[item]
+        alone = min(len(ids), 2 * len(own) + PASSAGE)
+        reach = min(len(ids), (passages[-1] - passages[0]) * HALF + 2 * len(own) + PASSAGE)
+        if 2 * reach <= len(passages) * alone:
+            share = common_subsequence(own.tolist(), self._around(ids, item, passages[0], passages[-1])) / len(own)
+            if share <= best[0] or share < LIKELY:
+                return best
+        half = len(passages) // 2
+        return self._most(ids, item, passages[half:], self._most(ids, item, passages[:half], best))
+
     def search(self, held: list[np.ndarray], first: np.ndarray, flat: np.ndarray) -> Iterator[tuple[int, int, float, float, bool]]:
         """(place of the text, item id, cosine, share of the item's words found in order, answer found) of each proved item."""
         halves = flat.reshape(-1, HALF)
         near = self._near(halves)
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-        places = [*near, *(x for x in self.runs.found(flat) if x not in near)]
-        for (p, k), t in zip(places, (np.searchsorted(first, [p for p, _ in places], "right") - 1).tolist()):
-            if (t, k) in best and best[t, k][1] >= 1:
-                continue
-            found = self._verified(held[t], k, p - int(first[t]))
-            if found and ((t, k) not in best or found[0] > best[t, k][1]):
-                best[t, k] = (near[p, k] if (p, k) in near else self._cosine(halves, p, k), *found)
+        for chosen in (list(near), sorted(x for x in self.runs.found(flat) if x not in near)):
+            places: dict[tuple[int, int], list[int]] = {}
+            for (p, k), t in zip(chosen, (np.searchsorted(first, [p for p, _ in chosen], "right") - 1).tolist()):
+                places.setdefault((t, k), []).append(p - int(first[t]))
+            for (t, k), of in places.items():
+                was = best.get((t, k), (0.0, 0.0, False))
+                found = self._most(held[t], k, of[1:], self._most(held[t], k, of[:1], (was[1], was[2], None)))
+                if found[2] is not None:
+                    p = found[2] + int(first[t])
+                    best[t, k] = (near[p, k] if (p, k) in near else self._cosine(halves, p, k), *found[:2])
         return ((t, self.names[k], *v) for (t, k), v in sorted(best.items()))
 
 
