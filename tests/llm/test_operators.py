@@ -126,6 +126,43 @@ def test_bpe_equals_the_library_and_round_trips(docs, empty):
     assert encoded_digests(empty, vocabulary()).count() == 0
 
 
+def test_bpe_leaves_a_waiting_worker_no_automaton():
+    import gc
+    import pickle
+
+    import pyarrow as pa
+
+    from tidemark.llm import bpe
+    from tidemark.llm.queries import vocabulary
+
+    class Sent:  # as a worker gets it
+        value = pickle.loads(pickle.dumps(bpe._Packed(vocabulary())))
+
+    held = lambda: sum(isinstance(x, bpe.TokenAutomaton) for x in gc.get_objects())
+    gc.collect()
+    before = held()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})
+    out = bpe._encoded(Sent)(iter([batch]))
+    assert next(out).column("n_tokens").to_pylist()[1] == 0 and held() == before + 1
+    assert list(out) == [] and held() == before
+    assert before == 0 and len(pickle.dumps(Sent.value)) < 6_000_000
+    model = Sent.value.opened()
+    assert len(model.pages) + 4 * len(model.places) < 25_000_000
+
+
+def test_bpe_cuts_only_where_the_pattern_does():
+    import regex
+
+    from tidemark.llm import bpe
+
+    find, spaces = regex.compile(bpe.PATTERN).findall, [" ", "  ", "\n", " \n", "\n ", "\t", "\x1c", "\x85 ", " \xa0", "\u3000", " \u200b"]
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(spaces + ["'s", "a", "B9", "9", "é", "_", "'", "word,", "🎉", "中"]) for _ in range(rng.randrange(1, 12)))
+        first, *rest = bpe._apart(text)
+        assert [*find(first), *(x for c in rest for x in find(f" {c}"))] == find(text), repr(text)
+
+
 def test_sharding(docs, empty, corpus):
     from tidemark.llm.sharding import proportional_shards
 

@@ -6,6 +6,10 @@ split off as a state without that arc), and where u and then v could be read an
 All arcs with one label enter one state, so a state is kept as the set of arcs it lacks and the
 table of transitions as the state that each label enters.  A word's tokenization is its only
 accepted spelling, found by reading labels and stepping back where an arc is missing.
+
+Most rows of bits are alike in most places, so what is kept of them is their different pages and, for
+each state, which pages are its own.  The automaton travels packed and a task opens it for itself: a
+worker that waits for other stages holds no more than the packed form.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +30,40 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.words import release, tidy
 
-#: Distinct words whose ids a worker remembers, and the longest such word.
-REMEMBERED, LONG = 200_000, 64
+#: Distinct words whose ids a task remembers (once more as many of those before), and the longest such word.
+REMEMBERED, LONG = 100_000, 64
+#: Bits of a page's number of bytes.
+PAGE = 6
+#: First bytes of a token by which the length of what may follow is known.
+START = 5
 #: The pattern of the byte-level pre-tokenizer, in its public form.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: No match of the pattern goes from a character that is no white space over a space to another.
+_apart = re.compile(r" (?<=\S )(?=\S)").split
+
+
+class _Remembered(dict):
+    """What ``make`` gives for a key; the latest keys are remembered, those used again for longer."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONG:
+                return value
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in a vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,33 +92,48 @@ class TokenAutomaton:
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ids = vocab
-        self._ready()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self._compile([(vocab[raw(a)], vocab[raw(b)], vocab[raw(a) + raw(b)]) for a, b in merges], [vocab[bytes([b])] for b in range(256)])
+        self._compile([(vocab[raw(a)], vocab[raw(b)], vocab[raw(a) + raw(b)]) for a, b in merges], [vocab[bytes([b])] for b in range(256)], max(i for i in (*vocab.values(), *self.special.values())) + 1)
+        self._ready()
 
     def _ready(self) -> None:
         """What follows from the vocabulary."""
-        self.labels = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.prefixes = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
-        self._words: dict[str, tuple[int, ...]] = {}
+        known = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.labels = [known.get(i, b"") for i in range(max(known) + 1)]
+        code = lambda token: np.array([token], "<u4").tobytes()
+        # of each token that is read: its code, the state it enters, and where a state's pages say that they lack it
+        self.arcs = {t: (code(i), self.enters[i], i >> PAGE + 3, i >> 3 & (1 << PAGE) - 1, 1 << (i & 7)) for t, i in self.ids.items() if i in self.enters}
+        self.longest: dict[bytes, int] = {}  # bytes of the longest token that begins with these START
+        for t in self.arcs:
+            if len(t) >= START:
+                self.longest[t[:START]] = max(len(t), self.longest.get(t[:START], 0))
+        self.codes = {t: code(i) for t, i in self.special.items()}
+        rest = _Remembered(lambda word: self.spell(word.encode()))
+
+        def after_space(chunk: str) -> bytes:
+            first, *more = self._find(f" {chunk}")
+            return spaced[first[1:]] + b"".join([rest[x] for x in more]) if more else self.spell(first.encode())
+
+        self._spaced = spaced = _Remembered(after_space)  # what follows a space, up to the next
+        self._rest = rest
         special = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self._special = regex.compile(f"({special})") if special else None
         self._find = regex.compile(PATTERN).findall
 
-    def packed(self) -> tuple[bytes, bytes]:
-        return pickle.dumps((self.special, self.ids, self.enters)), zstandard.compress(self.lacks, 3)
+    def packed(self) -> tuple[bytes, ...]:
+        return pickle.dumps((self.special, self.ids, self.enters)), zstandard.compress(self.pages, 3), zstandard.compress(self.places.tobytes(), 3)
 
     @classmethod
-    def unpacked(cls, small: bytes, lacks: bytes) -> TokenAutomaton:
+    def unpacked(cls, small: bytes, pages: bytes, places: bytes) -> TokenAutomaton:
         out = cls.__new__(cls)
         out.special, out.ids, out.enters = pickle.loads(small)
-        out.lacks = zstandard.decompress(lacks)
+        out.pages, out.places = zstandard.decompress(pages), array("I", zstandard.decompress(places))
         out._ready()
         return out
 
-    def _compile(self, merges, alphabet) -> None:
+    def _compile(self, merges, alphabet, size: int) -> None:
         """Apply the gadget of every merge; a state is a row of bits, set for the arcs it lacks."""
-        width = max(self.labels) // 8 + 1
+        width = (size - 1 >> PAGE + 3) + 1 << PAGE
         lacks, n = np.zeros((1024, width), np.uint8), 1
         enters = dict.fromkeys(alphabet, 0)
         shared = {0: len(alphabet)}  # state -> labels that enter it
@@ -105,49 +154,46 @@ class TokenAutomaton:
             shared[after] = shared.get(after, 0) + 1
             lacks[:n, uv >> 3] |= (lacks[:n, u >> 3] >> (u & 7) & 1) << (uv & 7)  # what can't read u can't read uv
         used = sorted({0, *enters.values()})
-        place = {state: i * width for i, state in enumerate(used)}  # a state's first byte names it
-        self.lacks, self.enters = lacks[used].tobytes(), {label: place[state] for label, state in enters.items()}
-
-    def spell(self, word: bytes) -> tuple[int, ...]:
-        """Ids of the accepted spelling of one pre-split word."""
-        n, ids, enters, lacks = len(word), self.ids, self.enters, self.lacks
-        path: list[tuple[int, int, int]] = []  # (token, end, state before)
+        pages, places = np.unique(lacks[used].reshape(-1, 1 << PAGE).view(f"V{1 << PAGE}"), return_inverse=True)
+        self.pages, self.places = pages.tobytes(), array("I", (places.ravel() << PAGE).astype(np.uint32).tobytes())
+        place = {state: i * (width >> PAGE) for i, state in enumerate(used)}  # the place of its first page names a state
+        self.enters = {label: place[state] for label, state in enters.items()}
+
+    def spell(self, word: bytes) -> bytes:
+        """Codes of the accepted spelling of one pre-split word, four bytes each."""
+        n, arcs, longest, pages, places = len(word), self.arcs, self.longest, self.pages, self.places
+        path: list[tuple[bytes, int, int]] = []  # (code, start, state before)
         at, state = 0, 0
         dead: set[tuple[int, int]] = set()
         while at < n:
-            end, reach = 0, at + 1
-            while reach <= n and word[at:reach] in self.prefixes:
-                reach += 1
-            for stop in range(reach - 1, at, -1):
-                token = ids.get(word[at:stop])
-                if token is not None and token in enters and not lacks[state + (token >> 3)] >> (token & 7) & 1 and (stop, enters[token]) not in dead:
-                    end = stop
-                    break
-            if end:
-                path.append((token, at, state))
-                at, state = end, enters[token]
+            stop = at + longest.get(word[at : at + START], START - 1)
+            if stop > n:
+                stop = n
+            while stop > at:
+                arc = arcs.get(word[at:stop])
+                if arc is not None:
+                    code, to, page, byte, bit = arc
+                    if not pages[places[state + page] + byte] & bit and (not dead or (stop, to) not in dead):
+                        break
+                stop -= 1
+            if stop > at:
+                path.append((code, at, state))
+                at, state = stop, to
             else:
                 dead.add((at, state))
-                token, at, state = path.pop()
-        return tuple(t for t, _, _ in path)
+                _, at, state = path.pop()
+        return b"".join([code for code, _, _ in path])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self._words
+    def encode(self, text: str) -> np.ndarray:
+        out: list[bytes] = []
         for i, part in enumerate(self._special.split(text) if self._special else [text]):
             if i % 2:
-                out.append(self.special[part])
-                continue
-            for word in self._find(part):
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.spell(word.encode())
-                    if len(word) <= LONG:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[word] = ids
-                out += ids
-        return out
+                out.append(self.codes[part])
+            elif part:
+                first, *rest = _apart(part)
+                out += [self._rest[x] for x in self._find(first)]
+                out += map(self._spaced.__getitem__, rest)
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         labels = self.labels
@@ -155,13 +201,13 @@ class TokenAutomaton:
 
 
 class _Packed:
-    """What is broadcast: the driver keeps it packed, a worker unpickles an automaton."""
+    """What is broadcast."""
 
     def __init__(self, path: str):
         self.parts = TokenAutomaton(path).packed()
 
-    def __reduce__(self):
-        return TokenAutomaton.unpacked, self.parts
+    def opened(self) -> TokenAutomaton:
+        return TokenAutomaton.unpacked(*self.parts)
 
 
 _compiled: dict[str, _Packed] = {}
@@ -177,14 +223,14 @@ def _shared(df: DataFrame, path: str):
 
 def _encoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value.opened()
         for batch in batches:
             lengths, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = model.encode(text or "")
                 lengths.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(model.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return tidy(run)
@@ -202,10 +248,10 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _id_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value.opened()
         for batch in batches:
             ids = [model.encode(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return tidy(run)
 
@@ -221,7 +267,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     shared = _shared(ids, path)
 
     def run(batches):
-        model = shared.value
+        model = shared.value.opened()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 

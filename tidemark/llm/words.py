@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 200_000
+#: Bytes of rows, about, that a task turns into Python's objects at once.
+AT_ONCE = 4 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
 
@@ -30,12 +33,22 @@ _hashes = _Hashes()
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * AT_ONCE // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; when the task ends, the worker, which other stages use again, gives back what it remembered."""
+    """``run`` for mapInArrow, over batches of bounded size (but a row stays whole).
+
+    When the task ends, the worker, which other stages use again, gives back what it remembered.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(_pieces(batches))
         finally:
             release()
 
@@ -45,6 +58,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def release() -> None:
     """Give memory that is no longer used back to the system."""
     _hashes.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
