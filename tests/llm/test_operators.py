@@ -74,6 +74,20 @@ def test_jaccard_groups(docs, empty, corpus):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {top(i) for i, _ in sets} | {None}
 
 
+def test_hashes_and_distinct_values():
+    import xxhash
+
+    from tidemark.llm import words as w
+
+    made = [b"a", b"bc", b"a", "é".encode(), b"x" * 300]
+    assert w.hashed(made).tolist() == [xxhash.xxh3_64_intdigest(x) for x in made] and w.hashed([]).dtype == np.uint64
+    assert not any(isinstance(x, dict) and b"bc" in x for x in vars(w).values())  # nothing stays in a worker
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 500):
+        values = rng.integers(-9, 9, n) if n < 500 else rng.integers(-1 << 62, 1 << 62, n).repeat(2)
+        assert np.array_equal(w.distinct(values), np.unique(values))
+
+
 def test_substrings(docs, empty, corpus):
     from tidemark.llm.substrings import removed_substrings, without_repeats
 
@@ -375,6 +389,48 @@ def test_toxicity_counts_all_grams_of_a_large_input(spark):
     assert np.allclose(model.seen[2][pairs[after_q].astype(int)], np.maximum(c[after_q] - d, 0) / c[after_q].sum(), rtol=0.01)
 
 
+def test_toxicity_looks_texts_up_together(monkeypatch):
+    from tidemark.llm import toxicity
+
+    rng = random.Random(3)
+    texts = ["", "a", " ", "Ab é🎉\n", *("".join(rng.choice("abc dE\n") for _ in range(rng.randrange(400))) for _ in range(60)), "x" * 5000]
+    grams, counts = np.unique(np.concatenate([toxicity._packed(t) for t in texts]), return_counts=True)
+    levels = {}
+    for name in ("toxic", "ordinary", *range(toxicity.ORDER - 1, 0, -1)):
+        if isinstance(name, int):
+            grams, counts = np.unique(grams & np.uint64((1 << 8 * name) - 1), return_counts=True)
+        counts = counts + 7 * (name == "toxic")
+        contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
+        kept = counts > toxicity.DISCOUNT
+        levels[name] = grams[kept], counts[kept].astype(float), contexts, np.bincount(of, counts).astype(float), np.bincount(of, np.minimum(counts, toxicity.DISCOUNT))
+    model = toxicity.ToxicityModel(levels)
+    model.weights = np.arange(len(model.weights)) / 10
+    calls = []
+    looked_up = toxicity.ToxicityModel._ratios
+    monkeypatch.setattr(toxicity.ToxicityModel, "_ratios", lambda self, g: calls.append(len(g)) or looked_up(self, g))
+    together = model.scores(texts)
+    assert len(calls) < len(texts) / 10 and max(calls) <= toxicity.TOGETHER + 5000
+    alone = [model.scores([t])[0] for t in texts]
+    assert together == alone and len(set(alone)) > 50
+
+    def plainly(text):
+        """Character by character from the tables; at a place of ``order`` characters stand what ends there."""
+        b, out = [32] * (toxicity.ORDER - 1) + toxicity._LOWER[[c & 255 ^ c >> 8 & 255 for c in map(ord, text)]].tolist(), []
+        for end in range(toxicity.ORDER - 1, len(b)):
+            code = lambda k, to: sum(b[to - j] << 8 * j for j in range(k))  # noqa: B023, E731
+            at = lambda k, to: int(toxicity._slot(np.array([code(k, to)], np.uint64), k, model.bits[k])[0])  # noqa: B023, E731
+            p = np.float32(model.seen[1][at(1, end)]) + float(model.rest[1][0]) / 256
+            for k in range(2, toxicity.ORDER):
+                p = float(model.seen[k][at(k, end)]) + float(model.rest[k][at(k - 1, end - 1)]) * p
+            last, before = at(toxicity.ORDER, end), at(toxicity.ORDER - 1, end - 1) if end >= toxicity.ORDER else int(toxicity._slot(np.array([int.from_bytes(b" " * 6, "little")], np.uint64), toxicity.ORDER - 1, model.bits[toxicity.ORDER - 1])[0])
+            one = [float(model.seen[c][last]) + float(model.rest[c][before]) * p for c in ("toxic", "ordinary")]
+            out.append(np.log(max(one[0], 1e-12) / max(one[1], 1e-12)))
+        return out
+
+    for text in texts[:8]:
+        assert np.allclose(model.ratios(text), plainly(text), atol=1e-3)
+
+
 def test_languages_on_held_out_rows(spark):
     from tidemark.llm.langid import predicted_languages
 

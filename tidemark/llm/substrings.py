@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.store import keep
-from tidemark.llm.words import grams, hashed, packed, texts, tidy, unpacked
+from tidemark.llm.words import distinct, grams, hashed, packed, texts, tidy, unpacked
 
 #: Windows that start in one region at most; neighbours overlap by the rest of a window.
 REGION = 512
@@ -55,7 +55,7 @@ def _anchor_rows(window: int):
         for batch in batches:
             ids, rows, out = [], [], []
             for i, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts(batch.column("text"))):
-                a = np.unique(_anchors(text.split(), window))
+                a = distinct(_anchors(text.split(), window))
                 out.append(a)
                 ids.append(np.full(len(a), i, np.int64))
                 rows.append(np.full(len(a), row, np.int64))
@@ -95,7 +95,7 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(grams(hashed(x.split()), window).view(np.int64)) for x in texts(batch.column("words"))]
+            hashes = [distinct(grams(hashed(x.split()), window).view(np.int64)) for x in texts(batch.column("words"))]
             n = [len(x) for x in hashes]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc_id", "start"))],
